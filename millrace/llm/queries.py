@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, records, tokens
+from millrace.llm import packing, records, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -34,6 +35,11 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(path, files)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), word_bpe, end_id=1, capacity=4096), 4096)
 
