@@ -14,8 +14,12 @@ UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 LATIN = "0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 PARTS = re.compile(f"\\s*[{LATIN}]+|\\s*[^{LATIN}\\s]+|\\s+")
 OTHER = re.compile("['ɐ-\U0010ffff]")
-#: Words kept between texts; beyond that the memory starts anew (it only saves time).
-MEMORY = 700_000
+#: Words kept between texts; beyond that those met once are forgotten (memory only saves time).
+MEMORY = 250_000
+#: Parts of words kept; beyond that they are all forgotten.
+PARTS_MEMORY = 1_000_000
+#: Characters encoded at once, and words.
+AT_ONCE, WORDS_AT_ONCE = 2_000_000, 8192
 
 
 class _Words(dict):
@@ -48,12 +52,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.leading_space = leading_space
+        self._reset_parts()
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.parts = _Words(), _Words()
-        self.ids, self.part_ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.starts, self.part_starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.words, self.ids, self.starts, self.met = _Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        if len(self.parts) > PARTS_MEMORY:
+            self._reset_parts()
+
+    def _reset_parts(self) -> None:
+        self.parts, self.part_ids, self.part_starts = _Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the words met again and again: half of what memory holds, at most."""
+        often = self.met[: len(self.words)]
+        least = max(2, int(np.partition(often, -MEMORY // 2)[-MEMORY // 2]) + 1)
+        kept = np.flatnonzero(often >= least)
+        words = [w for w, m in zip(self.words, (often >= least).tolist(), strict=True) if m]
+        ids, ends = _ragged(self.ids, self.starts, kept)
+        met = often[kept] // 2
+        self._reset()
+        self.words.update(zip(words, range(len(words)), strict=True))
+        self.ids, self.starts, self.met = ids, ends, met
 
     def _learn(self) -> None:
         """Ids of the words met since the last call, from those of their parts."""
@@ -65,7 +85,9 @@ class Encoder:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if len(self.parts) > known_parts:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(islice(self.parts, known_parts, None)), add_special_tokens=False)]
+            new, ids = list(islice(self.parts, known_parts, None)), []
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + WORDS_AT_ONCE], add_special_tokens=False)]
             self.part_ids = np.concatenate([self.part_ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
             self.part_starts = np.concatenate([self.part_starts, self.part_starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
         ids, ends = _ragged(self.part_ids, self.part_starts, numbers)
@@ -79,7 +101,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size < 4_000_000):
+            while end < len(texts) and (end == at or size < AT_ONCE):
                 size += len(texts[end])
                 end += 1
             self._some(texts, out, at, end)
@@ -88,7 +110,7 @@ class Encoder:
 
     def _some(self, texts: list[str], out: list, begin: int, end: int) -> None:
         if len(self.words) > MEMORY:
-            self._reset()
+            self._forget()
         number, numbers, counts, done = self.words.__getitem__, [], [], []
         for k in range(begin, end):
             t = texts[k]
@@ -106,6 +128,9 @@ class Encoder:
             return
         self._learn()
         w = np.concatenate(numbers)
+        seen = np.bincount(w, minlength=len(self.words))
+        seen[: len(self.met)] += self.met
+        self.met = seen
         ids, ends = _ragged(self.ids, self.starts, w)
         cut = ends[np.concatenate([[0], np.cumsum(counts)])]
         for k, a, b in zip(done, cut[:-1], cut[1:], strict=True):
