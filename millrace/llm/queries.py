@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, records, simhash, tokens
+from millrace.llm import packing, records, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -30,6 +30,17 @@ byte_bpe = partial(_encode, "byte_bpe_50k.json", True)
 word_bpe = partial(_encode, "word_bpe_49k.json", False)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = secrets.BASE
+    return found.select(
+        "doc_id",
+        *[F.size(F.col("found")[r.kind]).cast("long").alias(f"n_{r.kind}") for r in base],
+        F.sha2(secrets.digest("found", base), 256).alias("base_sha256"),
+        secrets.digest("found", base + secrets.MORE).alias("spans"),
+    )
+
+
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, files = records.write_records(table(spark, sf_dir, "documents"), byte_bpe, end_id=2, vocabulary=50_257)
     return records.read_records(path, files)
