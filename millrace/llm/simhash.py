@@ -67,7 +67,8 @@ def near_pairs(fps: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.nda
     padded = np.zeros(n_words * 64, np.uint64)
     padded[:n] = fps
     bits = np.unpackbits(padded.astype(">u8").view(np.uint8).reshape(n_words, 64, 8), axis=2)  # word, lane, bit
-    planes = np.packbits(bits.transpose(2, 0, 1).reshape(BITS, n_words, 64), axis=2, bitorder="little").view("<u8").reshape(BITS, n_words).astype(np.uint64)
+    planes = np.packbits(bits.transpose(2, 0, 1).reshape(BITS, n_words, 64), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(planes).view("<u8").reshape(BITS, n_words).astype(np.uint64)
     ones = bits.reshape(-1, BITS)[:n].T.astype(bool)  # bit, row
     width = radius.bit_length()
     end_of = np.repeat(bounds[1:], np.diff(bounds))

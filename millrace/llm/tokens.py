@@ -12,10 +12,10 @@ import numpy as np
 UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 #: Parts of a word that every pre-tokenizer here keeps apart: runs of Latin letters and digits, and of other characters.
 LATIN = "0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-PARTS = re.compile(f"\\s*[{LATIN}]+|\\s*[^{LATIN}\\s]+|\\s+")
+PARTS = re.compile(f"\0|\\s*[{LATIN}]+|\\s*[^{LATIN}\\s\0]+|\\s+")
 OTHER = re.compile("['ɐ-\U0010ffff]")
 #: Words kept between texts; beyond that those met once are forgotten (memory only saves time).
-MEMORY = 250_000
+MEMORY = 350_000
 #: Parts of words kept; beyond that they are all forgotten.
 PARTS_MEMORY = 1_000_000
 #: Characters encoded at once, and words.
@@ -61,7 +61,8 @@ class Encoder:
             self._reset_parts()
 
     def _reset_parts(self) -> None:
-        self.parts, self.part_ids, self.part_starts = _Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        # Part 0 stands between words, and has no ids.
+        self.parts, self.part_ids, self.part_starts = _Words({"\0": 0}), np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def _forget(self) -> None:
         """Keeps the words met again and again: half of what memory holds, at most."""
@@ -80,10 +81,16 @@ class Encoder:
         known, known_parts = len(self.starts) - 1, len(self.part_starts) - 1
         if known == len(self.words):
             return
-        find, fold = PARTS.findall, not self.leading_space
-        split = [find(w.lower() if fold else w) if w.isascii() and "'" not in w or not OTHER.search(w) else [w] for w in islice(self.words, known, None)]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        new, fold = list(islice(self.words, known, None)), not self.leading_space
+        joined = "\0".join(new)
+        if joined.isascii() and "'" not in joined or not OTHER.search(joined):
+            split = PARTS.findall(joined.lower() if fold and joined.isascii() else joined)
+        else:
+            split = []
+            for w in new:
+                split += [w, "\0"] if OTHER.search(w) else [*PARTS.findall(w.lower() if fold and w.isascii() else w), "\0"]
+            split.pop()
+        numbers = np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split))
         if len(self.parts) > known_parts:
             new, ids = list(islice(self.parts, known_parts, None)), []
             for at in range(0, len(new), WORDS_AT_ONCE):
@@ -92,7 +99,7 @@ class Encoder:
             self.part_starts = np.concatenate([self.part_starts, self.part_starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
         ids, ends = _ragged(self.part_ids, self.part_starts, numbers)
         self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + ends[np.cumsum(counts)]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends[np.append(np.flatnonzero(numbers == 0), len(numbers))]])
 
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """One uint32 array a text; null counts as the empty text."""
@@ -114,7 +121,7 @@ class Encoder:
         number, numbers, counts, done = self.words.__getitem__, [], [], []
         for k in range(begin, end):
             t = texts[k]
-            if "<|" in t or (self.leading_space and ("  " in t or "\0" in t)) or (not t.isascii() or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) and UNUSUAL.search(t):
+            if "<|" in t or "\0" in t or (self.leading_space and "  " in t) or (not t.isascii() or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) and UNUSUAL.search(t):
                 out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
                 continue
             if self.leading_space:
