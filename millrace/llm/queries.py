@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, records, secrets, simhash, tokens
+from millrace.llm import language, packing, quality, records, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -30,6 +30,10 @@ byte_bpe = partial(_encode, "byte_bpe_50k.json", True)
 word_bpe = partial(_encode, "word_bpe_49k.json", False)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = secrets.BASE
@@ -55,6 +59,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), word_bpe, end_id=1, capacity=4096), 4096)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out("doc_id")))
+    found = language.predict(docs, model)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "langs")
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
