@@ -129,24 +129,24 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def split_hot(rows: DataFrame, keys: list[str], chunk: int, by: str) -> DataFrame:
-    """Adds part_a and part_b to rows so that a group of (keys, part_a, part_b) has some 2 * chunk rows at most.
+    """Adds part_a, part_b and mine to rows so that a group of (keys, part_a, part_b) has some 2 * chunk rows at most.
 
     A group of up to chunk rows has part_a = part_b = 0. A larger one is cut into m parts by a hash of ``by`` and each
     pair of parts becomes a group; two rows of the group meet in the group of their parts (rows of one part in the
-    group part_a = part_b). Nothing is dropped, and no key is left to one task.
+    group part_a = part_b). ``mine`` is a row's own part. Nothing is dropped, and no key is left to one task.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > chunk)
     hot = written(sizes.select(*keys, F.ceil(F.col("n_") / chunk).cast("int").alias("m_")), "hot")
     if hot.isEmpty():
-        return rows.withColumn("part_a", F.lit(0)).withColumn("part_b", F.lit(0))
+        return rows.withColumn("part_a", F.lit(0)).withColumn("part_b", F.lit(0)).withColumn("mine", F.lit(0))
     joined = rows.join(hot, keys, "left").withColumn("m_", F.coalesce("m_", F.lit(1)))
     mine = F.pmod(F.xxhash64(by), F.col("m_")).cast("int")
     return (
-        joined.withColumn("mine_", mine)
+        joined.withColumn("mine", mine)
         .withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("m_") - 1)))
-        .withColumn("part_a", F.least("mine_", "other_"))
-        .withColumn("part_b", F.greatest("mine_", "other_"))
-        .drop("m_", "other_", "mine_")
+        .withColumn("part_a", F.least("mine", "other_"))
+        .withColumn("part_b", F.greatest("mine", "other_"))
+        .drop("m_", "other_")
     )
 
 
