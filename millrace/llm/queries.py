@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, neardup_vectors, packing, quality, records, secrets, simhash, tokens
+from millrace.llm import ann, language, neardup_vectors, packing, quality, records, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -50,6 +50,10 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(path, files)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93, by="label")
 
