@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, language, neardup_vectors, packing, quality, records, secrets, simhash, tokens
+from millrace.llm import ann, language, lines, neardup_vectors, packing, quality, records, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -63,6 +63,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="removed_chunks")
+    return found.select("doc_id", "removed_chunks", F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), word_bpe, end_id=1, capacity=4096), 4096)
 
