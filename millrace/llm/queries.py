@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, language, lines, neardup_vectors, packing, quality, records, secrets, simhash, tokens
+from millrace.llm import ann, language, lines, neardup_vectors, packing, quality, records, sampling, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -79,6 +79,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.encode(table(spark, sf_dir, "documents"), partial(tokenizer_path, "piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
