@@ -45,7 +45,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, n_features, weight, key, kept) of every row of docs (doc_id, text).
+    """(doc_id, n_features, weight, key, kept, text_hash) of every row of docs (doc_id, text).
 
     labels (doc_id, quality 0/1, toxic 0/1): the target are documents of quality 1 that are not toxic. The raw model
     counts the words and word pairs of all documents, the target model those of up to FITTED labelled target ones;
@@ -61,6 +61,7 @@ def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), F.max("quality").alias("q")).filter("q is not null")
     known = known.select("doc_id", F.when(F.col("good"), 1).otherwise(0).alias("good"), "q", F.xxhash64("doc_id").alias("order"))
     take = lambda cond, n: known.filter(cond).orderBy("order", "doc_id").limit(n)
@@ -93,13 +94,13 @@ def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
             weight = total / (n + PRIOR)
             key = SHARPNESS * weight + gumbel(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), seed)
             empty = n == 0
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "role": batch.column("role"), "n_features": n, "weight": pa.array(weight, mask=empty), "key": pa.array(key, mask=empty), "bits": pa.array(sortable(key), mask=empty)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "role": batch.column("role"), "n_features": n, "weight": pa.array(weight, mask=empty), "key": pa.array(key, mask=empty), "bits": pa.array(sortable(key), mask=empty)})
 
-    out = written(flagged.mapInArrow(score, "doc_id long, role int, n_features long, weight double, key double, bits long"), "weights")
+    out = written(flagged.mapInArrow(score, "doc_id long, text_hash long, role int, n_features long, weight double, key double, bits long"), "weights")
     cut = _cut(out.filter("role < 2 and weight is not null").dropDuplicates(["doc_id"]).select("role", "weight").toPandas()) if usable else None
     k = out.filter("weight is not null" if cut is None else F.col("weight") >= cut).count()
     last = kth_largest(out.filter("bits is not null"), "bits", k)
-    return out.select("doc_id", "n_features", "weight", "key", F.coalesce(F.col("bits") >= F.lit(last), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_features", "weight", "key", F.coalesce(F.col("bits") >= F.lit(last), F.lit(False)).alias("kept"), "text_hash")
 
 
 def _cut(labelled) -> float | None:
@@ -133,9 +134,8 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
 
 def selected(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of docs that ``scored`` keeps, with all their columns."""
-    kept = scored(docs, labels, seed)
-    flag = free_name("rejected", docs.columns)
-    # Rejected documents are the smaller side. A row is told from others of its doc_id by its text.
-    drop = kept.filter("not kept").select(F.col("doc_id").alias(flag)).distinct()
-    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(flag)), "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone, h = free_name("gone", docs.columns), free_name("text_hash", docs.columns)
+    # Rejected documents are the smaller side; a row is told from others of its doc_id by its text.
+    drop = scored(docs, labels, seed).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(h)).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    return docs.join(drop, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

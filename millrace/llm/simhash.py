@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, group_bounds, local_components, shuffle_partitions, sorted_groups, split_hot, written
+from millrace.llm.common import connected_components, free_name, group_bounds, local_components, shuffle_partitions, sorted_groups, split_hot, written
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared part by part.
@@ -154,7 +154,7 @@ def links(distinct: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     return out.select("node", "fp", *groups).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text): the smallest doc_id reachable over links.
 
     Documents link if their fingerprints differ in at most radius bits. Null, empty and blank texts have fingerprint 0
@@ -170,8 +170,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFra
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id (of the smallest text, if repeated)."""
-    kept = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id", "text"])
-    return once.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, with all its columns.
+
+    Of rows with the same doc_id the one of the smallest text stays. A row of null doc_id goes if its group has an id;
+    others stay, equal texts once.
+    """
+    own, named = near_duplicates(docs, words, radius), free_name("kept_id", docs.columns)
+    kept = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(named)).distinct()
+    nth, key = free_name("nth", docs.columns), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    found = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(named)), "left_semi")
+    # Row numbers are cut to one in the map tasks already: repeated rows are no large group.
+    first = found.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text")))
+    return first.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
