@@ -1,0 +1 @@
+"""No streaming operators: the relational surface of this engine is batch only."""
