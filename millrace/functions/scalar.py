@@ -120,10 +120,20 @@ def date_trunc(unit: str, x, is_date: bool = False) -> Column:
 
 
 def datediff(unit: str, a, b) -> Column:
-    """b - a in whole units, towards zero; a month or year that is not full doesn't count."""
-    if unit.lower() not in UNITS:
+    """b - a in whole units, towards zero.
+
+    Months are those of the calendar, less one (towards zero) if what is behind b's month start is less than behind a's.
+    """
+    unit = unit.lower()
+    if unit not in UNITS:
         raise ValueError(f"datediff: unit {unit} is not supported")
-    return F.timestamp_diff(unit.upper(), _c(a).cast("timestamp_ntz"), _c(b).cast("timestamp_ntz"))
+    a, b = _c(a).cast("timestamp_ntz"), _c(b).cast("timestamp_ntz")
+    if unit not in ("month", "year"):
+        return F.timestamp_diff(unit.upper(), a, b)
+    months = ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("bigint")
+    tail = lambda x: F.timestamp_diff("MICROSECOND", F.date_trunc("month", x).cast("timestamp_ntz"), x)
+    full = F.when((months > 0) & (tail(b) < tail(a)), months - 1).when((months < 0) & (tail(b) > tail(a)), months + 1).otherwise(months)
+    return full if unit == "month" else F.call_function("div", full, F.lit(12).cast("bigint"))
 
 
 def divide(a, b, integers: bool) -> Column:

@@ -107,9 +107,22 @@ class Rewriter:
     # -- types ---------------------------------------------------------------------------------------------------------
     def family(self, items: list) -> str | None:
         """int, float, decimal, string, date, timestamp, bool or None (unknown) of an operand."""
-        items = [t for t in items if t.low not in ("+", "-") or t.kind != "op"] if len(items) > 1 else items
+        while len(items) > 1 and items[0].kind == "op" and items[0].low in ("+", "-"):
+            items = items[1:]
         if not items:
             return None
+        for marks in (("+", "-"), ("*", "/", "%")):
+            parts: list[list] = [[]]
+            for t in items:
+                if t.kind == "op" and t.low in marks and parts[-1] and not (parts[-1][-1].kind == "op"):
+                    parts.append([])
+                else:
+                    parts[-1].append(t)
+            if len(parts) > 1:
+                kinds = [self.family(p) for p in parts if p]
+                if kinds[0] in ("date", "timestamp"):
+                    return kinds[0]
+                return "float" if "float" in kinds else "int" if set(kinds) == {"int"} else None
         if len(items) == 1:
             t = items[0]
             if t.kind == "raw":
@@ -139,16 +152,10 @@ class Rewriter:
             if name in ("sum", "min", "max", "abs", "coalesce"):
                 return self.family([t for t in (split_commas(args) or [[]])[0] if t.low != "distinct"])
             return None
-        if any(t.kind == "op" and t.low in ("*", "/", "%") for t in items):
-            parts: list[list] = [[]]
-            for t in items:
-                if t.kind == "op" and t.low in ("*", "/", "%"):
-                    parts.append([])
-                else:
-                    parts[-1].append(t)
-            kinds = {self.family(p) for p in parts}
-            return "float" if "float" in kinds else "int" if kinds == {"int"} else None
-        return "float" if any(self.family([t]) == "float" for t in items if t.kind in ("number", "word")) else None
+        if items[0].low == "case" and items[0].kind == "word":
+            results = [self.family([items[i + 1]]) for i, t in enumerate(items[:-1]) if t.low in ("then", "else")]
+            return "float" if "float" in results else "int" if results and set(results) == {"int"} else None
+        return None
 
     def _column(self, name: str) -> str | None:
         return self._family_of_type(self.types.get(name.strip('"`').lower(), ""))
@@ -321,7 +328,7 @@ class Rewriter:
             return f"cast(date_trunc({one(0)}, {one(1)}) as {'date' if kind == 'date' else 'timestamp_ntz'})"
         if name == "datediff":
             unit = string_value(each[0][0].text) if each[0][0].kind == "string" else each[0][0].low
-            return f"timestampdiff({unit.upper()}, cast({one(1)} as timestamp_ntz), cast({one(2)} as timestamp_ntz))"
+            return _datediff(unit.lower(), f"cast({one(1)} as timestamp_ntz)", f"cast({one(2)} as timestamp_ntz)")
         if name == "group_concat":
             if any(t.low == "distinct" for t in args):
                 raise SqlError("GROUP_CONCAT(DISTINCT ...) is not supported", UNSUPPORTED)
@@ -348,6 +355,17 @@ def _substr(s: str, start: str, n: str | None = None) -> str:
     return f"(case when {n} >= 0 then substring({s}, cast(greatest({place}, 1) as int), cast(greatest({n} - greatest(1 - {place}, 0), 0) as int)) when {n} < 0 then substring({s}, cast({begin} + 1 as int), cast({end} - {begin} as int)) end)"
 
 
+def _datediff(unit: str, a: str, b: str) -> str:
+    if unit not in ("year", "month", "day", "hour", "minute", "second"):
+        raise SqlError(f"DATEDIFF: unit {unit} is not supported", UNSUPPORTED)
+    if unit not in ("month", "year"):
+        return f"timestampdiff({unit.upper()}, {a}, {b})"
+    months = f"cast((year({b}) - year({a})) * 12 + month({b}) - month({a}) as bigint)"
+    tail = lambda x: f"timestampdiff(MICROSECOND, cast(date_trunc('month', {x}) as timestamp_ntz), {x})"
+    full = f"(case when {months} > 0 and {tail(b)} < {tail(a)} then {months} - 1L when {months} < 0 and {tail(b)} > {tail(a)} then {months} + 1L else {months} end)"
+    return full if unit == "month" else f"({full} div 12L)"
+
+
 def _alone(items: list, k: int) -> bool:
     """Whether a number is a whole item of GROUP BY (a position)."""
     after = items[k + 1] if k + 1 < len(items) else None
