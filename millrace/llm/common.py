@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -150,6 +151,43 @@ def split_hot(rows: DataFrame, keys: list[str], chunk: int, by: str) -> DataFram
     )
 
 
+#: Bits of a key filter: 16 MB whatever the number of keys.
+FILTER_BITS = 27
+
+
+class KeyFilter:
+    """Which keys (longs that are hashes already) may be in a set: a bit map of fixed size, for the executors.
+
+    A key of the set always hits. With more keys more others hit too, so a filter can save a shuffle and never loses a
+    row; the join that follows decides. The set itself stays distributed: the driver gets the map's words that aren't
+    zero, 2**21 at most.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        place = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+        words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        found = words.toArrow()
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        place = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.shared.value[place >> 6] >> (place & 63) & 1).astype(bool)
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in keys[column], the rest): the rest needs no join, and so no shuffle of its texts."""
+    known = KeyFilter(keys, column)
+
+    @F.pandas_udf("boolean")
+    def hit(k: pd.Series) -> pd.Series:
+        return pd.Series(known.hits(k.to_numpy()))
+
+    return df.filter(hit(key)), df.filter(~hit(key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node that an edge (a, b: long) touches, the smallest node reachable.
 

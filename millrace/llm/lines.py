@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, written
+from millrace.llm.common import KeyFilter, free_name, parted, written
 
 #: Lines whose hashes the rolling hash spans, and one in how many places it makes a boundary.
 WINDOW, DIVISOR = 2, 2
@@ -74,32 +74,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(key, drop: array<int>): numbers of the chunks to remove from the rows (doc_id, text) of that key (``_key``).
 
     Of all chunks, hashes are counted first, with the smallest place of each; only chunks whose hash is there twice are
-    kept as bytes. Each is then compared, byte by byte, with the chunk at the smallest place and removed if equal, so
+    kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared, byte by byte, with the chunk at the smallest place and removed if equal, so
     that a chunk that only shares a hash stays. Places are ordered by doc_id (null last), key and number.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", _key(F.col("doc_id"), F.col("text")))
 
-    def expanded(with_bytes: bool):
+    def expanded(known: KeyFilter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
                     each = [(i, k, b) for i, t in enumerate(some.column("text").to_pylist()) for k, b in _parts(t)]
-                    i = pa.array([e[0] for e in each], pa.int64())
                     h = np.array([xxhash.xxh3_64_intdigest(e[2]) for e in each], np.uint64).view(np.int64)
+                    if known:
+                        there = np.flatnonzero(known.hits(h))
+                        h, each = h[there], [each[k] for k in there.tolist()]
+                    i = pa.array([e[0] for e in each], pa.int64())
                     cols = {"doc_id": some.column("doc_id").take(i), "key": some.column("key").take(i), "part": pa.array([e[1] for e in each], pa.int32()), "h": h}
-                    if with_bytes:
+                    if known:
                         cols["bytes"] = pa.array([e[2] for e in each], pa.binary())
                     yield pa.RecordBatch.from_pydict(cols)
 
-        return rows.mapInArrow(run, "doc_id long, key long, part int, h long" + ", bytes binary" * with_bytes)
+        return rows.mapInArrow(run, "doc_id long, key long, part int, h long" + ", bytes binary" * bool(known))
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "part")
     # Aggregated before the shuffle: a chunk in a third of all documents is one row of each task.
-    counted = expanded(False).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    counted = expanded(None).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     twice = written(counted.filter("n > 1").select("h", "first"), "chunks")
-    found = expanded(True).join(twice, "h").select("h", "key", "part", "bytes", ((F.col("first.key") == F.col("key")) & (F.col("first.part") == F.col("part"))).alias("is_first"))
+    found = expanded(KeyFilter(twice, "h")).join(twice, "h").select("h", "key", "part", "bytes", ((F.col("first.key") == F.col("key")) & (F.col("first.part") == F.col("part"))).alias("is_first"))
     found = written(found, "repeated")
     models = found.filter("is_first").select("h", F.col("bytes").alias("model")).dropDuplicates(["h"])
     equal = found.filter("not is_first").join(models, "h").filter(F.col("bytes") == F.col("model"))
@@ -118,7 +121,8 @@ def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     key, drop = free_name("key", docs.columns), dropped or free_name("drop", docs.columns)
     gone = written(repeats(docs).select(F.col("key").alias(key), F.col("drop").alias(drop)), "drops")
     text = F.col("text").cast("string")
-    joined = docs.withColumn("text", text).withColumn(key, _key(F.col("doc_id"), text)).join(gone, key, "left").drop(key)
+    touched, rest = parted(docs.withColumn("text", text), _key(F.col("doc_id"), text), gone, key)
+    joined = touched.withColumn(key, _key(F.col("doc_id"), F.col("text"))).join(gone, key, "left").drop(key)
     schema = joined.schema
     names = joined.columns
 
@@ -131,7 +135,8 @@ def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
                 batch = batch.set_column(names.index("text"), batch.schema.field(names.index("text")), pa.array(texts, column.type))
             yield batch
 
-    out = joined.mapInArrow(run, schema)
+    # Only documents that may lose something are shuffled.
+    out = joined.mapInArrow(run, schema).unionByName(rest.withColumn(drop, F.lit(None).cast("array<int>")))
     if dropped:
         return out.withColumn(dropped, F.coalesce(dropped, F.array().cast("array<int>")))
     return out.drop(drop)
