@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, written
+from millrace.llm.common import free_name, parted, written
 from millrace.llm.ngrams import add_counts, mix, word_ngrams
 
 #: Hash buckets of the n-gram models.
@@ -137,5 +137,8 @@ def selected(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     gone, h = free_name("gone", docs.columns), free_name("text_hash", docs.columns)
     # Rejected documents are the smaller side; a row is told from others of its doc_id by its text.
     drop = scored(docs, labels, seed).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(h)).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
-    return docs.join(drop, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    drop = written(drop, "rejected")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone)) & (text_hash == F.col(h))
+    touched, rest = parted(docs, text_hash, drop, h)
+    return touched.join(drop, same, "left_anti").unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, free_name, group_bounds, local_components, shuffle_partitions, sorted_groups, split_hot, written
+from millrace.llm.common import connected_components, free_name, group_bounds, local_components, parted, shuffle_partitions, sorted_groups, split_hot, written
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared part by part.
@@ -176,10 +176,16 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     Of rows with the same doc_id the one of the smallest text stays. A row of null doc_id goes if its group has an id;
     others stay, equal texts once.
     """
-    own, named = near_duplicates(docs, words, radius), free_name("kept_id", docs.columns)
-    kept = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(named)).distinct()
+    own, named = written(near_duplicates(docs, words, radius), "groups"), free_name("kept_id", docs.columns)
+    id_hash = lambda c: F.xxhash64(F.coalesce(c.cast("bigint"), F.lit(-1)), c.isNull())
+    # Rows that may go: those of another document's group, and those whose id is there twice. All others pass as they are.
+    kept_here = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    doubtful = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(kept_here).alias("kept")).filter("n > 1 or not kept")
+    doubtful = written(doubtful.select(id_hash(F.col("doc_id")).alias("h")), "doubtful")
+    touched, rest = parted(docs, id_hash(F.col("doc_id")), doubtful, "h")
+    kept = own.filter(kept_here).select(F.col("doc_id").alias(named)).distinct()
     nth, key = free_name("nth", docs.columns), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    found = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(named)), "left_semi")
+    found = touched.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(named)), "left_semi")
     # Row numbers are cut to one in the map tasks already: repeated rows are no large group.
     first = found.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text")))
-    return first.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return first.filter(F.col(nth) == 1).drop(nth).unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])
