@@ -80,17 +80,18 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _mixtures(loglik: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares of the languages, log-likelihood) by document; doc is sorted and has each document."""
-    top = loglik.max(axis=1)
-    like = np.exp(loglik - top[:, None])
+    """(shares of the languages: one row a language, log-likelihood) by document; doc is sorted and has each document."""
+    top = loglik.max(axis=0)
+    like = np.exp(loglik - top)
     first = np.searchsorted(doc, np.arange(n_docs))
-    n = np.diff(np.append(first, len(doc)))[:, None]
-    share = allowed / allowed.sum(axis=1, keepdims=True)
+    n = np.diff(np.append(first, len(doc)))
+    share = allowed / allowed.sum(axis=0)
     for _ in range(ROUNDS):
-        r = share[doc] * like
-        r /= r.sum(axis=1, keepdims=True) + 1e-300
-        share = np.add.reduceat(r, first, axis=0) / n
-    total = np.log((share[doc] * like).sum(axis=1) + 1e-300) + top
+        r = share[:, doc]
+        r *= like
+        r /= r.sum(axis=0) + 1e-300
+        share = np.add.reduceat(r, first, axis=1) / n
+    total = np.log((share[:, doc] * like).sum(axis=0) + 1e-300) + top
     return share, np.add.reduceat(total, first)
 
 
@@ -102,39 +103,41 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     times log(words) for each language is taken.
     """
     n_langs = table.shape[1]
+    columns = [np.ascontiguousarray(table[:, j], np.float32) for j in range(n_langs)]
     out = np.zeros((len(texts), n_langs))
     for at, data, ends in runs([(t or "").lower() for t in texts]):
         grams, word, doc = _ngrams(data, ends)
         if not len(doc) or not n_langs:
             continue
-        loglik = np.zeros((len(doc), n_langs))
+        loglik = np.zeros((n_langs, len(doc)))
         for row in grams:
-            real = row >= 0
+            real = np.flatnonzero(row >= 0)
             w = word[real]
             # Each word has bigrams at least: w is sorted, and sums by word are sums of runs.
             firsts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
             if len(firsts):
-                loglik[w[firsts]] += np.add.reduceat(table[row[real]], firsts, axis=0)
+                bucket = row[real]
+                for j in range(n_langs):
+                    loglik[j, w[firsts]] += np.add.reduceat(columns[j][bucket], firsts)
         there, local = np.unique(doc, return_inverse=True)
         n = len(there)
         first = np.searchsorted(local, np.arange(n))
         words = np.diff(np.append(first, len(local)))
         # One language: the sum of its log-likelihoods.
-        single = np.add.reduceat(loglik, first, axis=0)
+        single = np.add.reduceat(loglik, first, axis=1)
         penalty = PENALTY * np.log(words + 1.0)
-        best, score = np.eye(n_langs)[single.argmax(axis=1)], single.max(axis=1) - penalty
-        full, most = _mixtures(loglik, local, n, np.ones((n, n_langs)))
+        best, score = np.eye(n_langs)[single.argmax(axis=0)], single.max(axis=0) - penalty
+        full, most = _mixtures(loglik, local, n, np.ones((n_langs, n)))
         # No set can be likelier than all languages together: only where these beat the penalty sets are compared.
         open_ = np.flatnonzero(most - 2 * penalty > score)
         if len(open_):
             mine = np.isin(local, open_)
-            sub, part = np.searchsorted(open_, local[mine]), loglik[mine]
-            order = np.argsort(-full[open_], axis=1, kind="stable")
-            rank = np.argsort(order, axis=1)
+            sub, part = np.searchsorted(open_, local[mine]), loglik[:, mine]
+            rank = np.argsort(np.argsort(-full[:, open_], axis=0, kind="stable"), axis=0)
             for k in range(2, n_langs + 1):
                 share, total = _mixtures(part, sub, len(open_), (rank < k).astype(float))
                 gains = total - k * penalty[open_] > score[open_]
-                best[open_[gains]], score[open_[gains]] = share[gains], (total - k * penalty[open_])[gains]
+                best[open_[gains]], score[open_[gains]] = share[:, gains].T, (total - k * penalty[open_])[gains]
         out[at + there] = best
     return out
 
