@@ -33,8 +33,10 @@ from millrace.llm.ngrams import STEP, mix
 SMOOTH = 10.0
 #: Nodes of a path whose regions are told apart at once; the paths that leave later are one region until it is opened.
 AHEAD = 12
+#: Random numbers of a text that are drawn at once.
+DRAWN = 64
 #: Characters of one batch.
-AT_ONCE = 2_000_000
+AT_ONCE = 4_000_000
 SPACE = "▁"
 #: What a lattice falls apart into: at spaces always, and between Latin letters and all else where no piece spans them.
 _LETTERS = "A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -154,12 +156,17 @@ class Lattice:
             found_id.append(np.full(len(mine), vocabulary.size + len(self.fallback)))
             weights.append(np.array([vocabulary.byte_weight * len(ids)]))
             self.fallback.append(ids)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        place, size, ids = cat(found_at), cat(found_len), cat(found_id)
-        order = np.argsort(place, kind="stable")
-        # Edges by place; a place's edges are those from first to first of the next.
-        self.place, self.size, self.ids = place[order], size[order], ids[order]
-        self.first = np.searchsorted(self.place, np.arange(n + 1))
+        # Edges by place; a place's edges are those from first to first of the next. Each length has a place once.
+        n_edges = np.zeros(n, np.int64)
+        for at in found_at:
+            n_edges[at] += 1
+        self.first = np.concatenate([[0], np.cumsum(n_edges)])
+        self.place = np.repeat(np.arange(n), n_edges)
+        self.size, self.ids, free = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64), self.first[:-1].copy()
+        for at, size, ids in zip(found_at, found_len, found_id, strict=True):
+            slot = free[at]
+            self.size[slot], self.ids[slot] = size, ids
+            free[at] += 1
         score = np.concatenate(weights)[self.ids]
         # Backward sums, for all words at once by the distance from the end.
         node = np.arange(n) + np.repeat(np.arange(len(words)), lengths)
@@ -167,7 +174,6 @@ class Lattice:
         below = np.zeros(n + len(words) + 1)
         by_left = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
-        n_edges = np.diff(self.first)
         self.log_p = np.zeros(len(score))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = by_left[a:b]
@@ -180,9 +186,12 @@ class Lattice:
             top = np.maximum.reduceat(s, starts)
             below[node[at]] = total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, m)), starts))
             self.log_p[edges] = s - np.repeat(total, m)
-        # The likely edges of a place first, so that a draw has few to look at.
-        order = np.argsort(self.place - 0.5 * np.exp(self.log_p))
-        self.place, self.size, self.ids, self.log_p = self.place[order], self.size[order], self.ids[order], self.log_p[order]
+        # The likeliest edge of a place first, so that a draw has few to look at.
+        if n:
+            best = np.flatnonzero(self.log_p == np.repeat(np.maximum.reduceat(self.log_p, self.first[:-1]), n_edges))
+            here, there = self.first[self.place[best]], best
+            for x in (self.size, self.ids, self.log_p):
+                x[here], x[there] = x[there], x[here]
         self.p = np.exp(self.log_p)
         #: Edges that are the only one at their place.
         self.alone = np.repeat(n_edges, n_edges) == 1
@@ -240,15 +249,24 @@ class _Path:
 class _Search:
     """Open regions of one text, by the largest perturbed log-probability."""
 
-    def __init__(self, lattice: Lattice, key: int):
-        self.lattice, self.key, self.heap, self.drawn = lattice, key, [], 0
+    def __init__(self, lattice: Lattice, key: int, numbers: np.ndarray):
+        self.lattice, self.key, self.heap, self.drawn, self.numbers, self.serial = lattice, key, [], 0, numbers, 0
 
     def _u(self, n: int) -> np.ndarray:
+        while self.drawn + n > len(self.numbers):
+            k = len(self.numbers)
+            self.numbers = np.append(self.numbers, uniform(np.uint64(self.key), np.arange(k, k + DRAWN) + (1 << 40)))
         self.drawn += n
-        return uniform(np.uint64(self.key), np.arange(self.drawn - n, self.drawn) + (1 << 40))
+        return self.numbers[self.drawn - n : self.drawn]
 
-    def _push(self, value: float, path: _Path, node: int, without: tuple[int, ...]) -> None:
-        heapq.heappush(self.heap, (-value, len(self.heap) + self.drawn * 1000, path, node, without))
+    def _push(self, values: np.ndarray, path: _Path, what: list) -> None:
+        """Regions of one path, as one entry that gives them one by one."""
+        order = np.argsort(-values)
+        self._put((values[order].tolist(), order.tolist(), path, what), 0)
+
+    def _put(self, bundle: tuple, k: int) -> None:
+        self.serial += 1
+        heapq.heappush(self.heap, (-bundle[0][k], self.serial, bundle, k))
 
     def regions(self, path: _Path, begin: int) -> tuple[list, np.ndarray]:
         """((node, edges left out), ...), log masses of the paths that leave ``path`` at node begin or later."""
@@ -267,26 +285,30 @@ class _Search:
 
     def add(self, path: _Path, begin: int, bound: float) -> None:
         what, mass = self.regions(path, begin)
-        real = np.isfinite(mass)
-        if real.any():
-            values = truncated(mass[real], bound, self._u(int(real.sum())))
-            for k, value in zip(np.flatnonzero(real).tolist(), values.tolist(), strict=True):
-                self._push(value, path, *what[k])
+        real = np.flatnonzero(np.isfinite(mass))
+        if len(real):
+            self._push(truncated(mass[real], bound, self._u(len(real))), path, [what[k] for k in real.tolist()])
 
     def next(self) -> tuple[float, _Path, int, tuple[int, ...]] | None:
         """The best region, as (value, path, node, edges left out); a region of several nodes is opened first."""
         while self.heap:
-            value, _, path, node, without = heapq.heappop(self.heap)
+            value, _, bundle, k = heapq.heappop(self.heap)
+            value = -value
+            if k + 1 < len(bundle[0]):
+                self._put(bundle, k + 1)
+            path = bundle[2]
+            node, without = bundle[3][bundle[1][k]]
             if without:
-                return -value, path, node, without
+                return value, path, node, without
             what, mass = self.regions(path, node)
+            real = np.flatnonzero(np.isfinite(mass))
+            mass = mass[real]
             # One of its parts has its largest value; the others stay below.
-            share = np.exp(mass - mass.max())
+            share = np.cumsum(np.exp(mass - mass.max()))
             u = self._u(len(mass) + 1)
-            best = int(np.searchsorted(np.cumsum(share) / share.sum(), u[-1]))
-            for k in range(len(mass)):
-                if np.isfinite(mass[k]):
-                    self._push(-value if k == best else float(truncated(mass[k], -value, u[k])), path, *what[k])
+            values = truncated(mass, value, u[:-1])
+            values[min(int(np.searchsorted(share / share[-1], u[-1])), len(mass) - 1)] = value
+            self._push(values, path, [what[k] for k in real.tolist()])
         return None
 
     def branch(self, path: _Path, node: int, without: tuple[int, ...], bound: float) -> int:
@@ -299,7 +321,7 @@ class _Search:
         edge = min(int(np.searchsorted(np.cumsum(p) / p.sum(), u[0], side="right")), int(np.flatnonzero(p)[-1]))
         p[edge] = 0
         if p.sum() > 0:
-            self._push(float(truncated(path.upto[node] + np.log(p.sum()), bound, u[1])), path, node, (*without, first + edge))
+            self._push(truncated(np.array([path.upto[node] + np.log(p.sum())]), bound, u[1]), path, [(node, (*without, first + edge))])
         return first + edge
 
 
@@ -309,9 +331,10 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str | None], keys: list[int
     per_text = [np.fromiter(map(numbers.__getitem__, vocabulary.words.findall((SPACE + t).replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     lattice = Lattice(vocabulary, list(numbers))
     n = len(texts)
-    searches = [_Search(lattice, key) for key in keys]
     out: list[list] = [[] for _ in texts]
     key_of = np.array(keys, np.uint64)
+    drawn = uniform(key_of[:, None], np.arange(DRAWN) + (1 << 40))
+    searches = [_Search(lattice, key, u) for key, u in zip(keys, drawn, strict=True)]
     begin = [0] * n  # node from which the rest of a path is drawn
     prefix: list = [None] * n  # (path, node, edge taken there)
     bound = [float(-np.log(-np.log(uniform(key_of[i : i + 1], 1 << 41)[0]))) for i in range(n)]
@@ -399,8 +422,8 @@ def encode(docs: DataFrame, path, k: int = 2, seed: int = 0, with_ids: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path() if callable(path) else path
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                 rows = []
                 for i, found in samples(texts, row_keys(doc_ids, seed), where, k):
