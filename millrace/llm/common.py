@@ -38,6 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once where they hold whole texts.
+TEXTS_AT_ONCE = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to TEXTS_AT_ONCE: a batch of texts is in memory several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_AT_ONCE:
+        spark.conf.set(name, str(TEXTS_AT_ONCE))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -180,6 +191,7 @@ class KeyFilter:
 def parted(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows of df whose key may be in keys[column], the rest): the rest needs no join, and so no shuffle of its texts."""
     known = KeyFilter(keys, column)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("boolean")
     def hit(k: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches
 from millrace.llm.ngrams import STEP, add_counts, mix, runs
 
 #: Hash buckets of the n-gram models, and lengths of n-grams in bytes, each with its own buckets.
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                     }
                 )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<struct<lang:string,share:double>>")
 

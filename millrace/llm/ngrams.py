@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import bound_batches
+
 #: Multipliers of the hashes: odd, so that they can be undone modulo 2**64.
 STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Texts are hashed in runs of at most some so many bytes (a longer text alone).
@@ -85,6 +87,8 @@ def add_counts(docs: DataFrame, groups_of: Callable[[pa.RecordBatch], Iterator[t
     size that only the names and buckets set.
     """
 
+    bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:

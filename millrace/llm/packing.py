@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import bound_batches, written
 
 #: Pieces that one task packs together. A group's last sequence may stay part empty, one in some thousands.
 GROUP = 20_000
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], end_id:
 
     A null text counts as empty: its piece holds end_id alone. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch_path, shuffle_partitions
+from millrace.llm.common import bound_batches, scratch_path, shuffle_partitions
 
 #: Fixed value of the masked-checksum convention of record files.
 MASK = 0xA282EAD8
@@ -79,6 +79,7 @@ def write_records(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], e
     first; rows with equal doc_id are ordered by text; other columns are ignored; an empty table writes no file.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or scratch_path(spark, "records")
     narrow = max(vocabulary, end_id + 1) <= 1 << 16
 
