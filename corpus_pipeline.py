@@ -32,9 +32,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.deduplicated(docs, dropped="dropped_chunks_")
-    emptied = (F.size("dropped_chunks_") > 0) & (F.trim("text") == "")
-    return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).drop("dropped_chunks_"))
+    left = lines.deduplicated(docs, dropped="dropped_lines_")
+    emptied = (F.size("dropped_lines_") > 0) & (F.trim("text") == "")
+    return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).drop("dropped_lines_"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import KeyFilter, free_name, parted, written
+from millrace.llm.common import KeyFilter, bound_batches, free_name, parted, written
 
 #: Lines whose hashes the rolling hash spans, and one in how many places it makes a boundary.
 WINDOW, DIVISOR = 2, 2
 #: A chunk takes part if it has so many lines and words, or one line of so many words.
 LEAST_LINES, LEAST_WORDS, LONG_LINE = 2, 12, 40
+#: Lines on either side of a repeated chunk that are looked at for more of the passage.
+CONTEXT = 12
+RANGES = "array<struct<begin:int,end:int>>"
 STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -51,19 +54,31 @@ def repeatable(lines: list[bytes], begin: int, end: int) -> bool:
     return words >= (LEAST_WORDS if end - begin >= LEAST_LINES else LONG_LINE)
 
 
-def _parts(text: str | None) -> Iterator[tuple[int, bytes]]:
-    """(number, bytes) of the chunks of a text that take part."""
+def _parts(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(begin, end, all lines) of the chunks of a text that take part."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    for k, (a, b) in enumerate(chunks(lines)):
+    for a, b in chunks(lines):
         if repeatable(lines, a, b):
-            yield k, b"\n".join(lines[a:b])
+            yield a, b, lines
 
 
-def without(text: str, drop: set[int]) -> str:
-    """A text without the lines of these chunks."""
+def _around(lines: list[bytes], a: int, b: int) -> tuple[bytes, bytes]:
+    """128-bit hashes of the lines before (nearest first) and behind a chunk."""
+    digest = xxhash.xxh3_128_digest
+    return b"".join(map(digest, lines[max(0, a - CONTEXT) : a][::-1])), b"".join(map(digest, lines[b : b + CONTEXT]))
+
+
+def _common(x: bytes, y: bytes) -> int:
+    """How many hashes two runs of them begin with alike."""
+    n = min(len(x), len(y)) // 16
+    return next((k for k in range(n) if x[16 * k : 16 * k + 16] != y[16 * k : 16 * k + 16]), n)
+
+
+def without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """A text without these ranges of lines."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    kept = [x for k, (a, b) in enumerate(chunks(lines)) if k not in drop for x in lines[a:b]]
-    return b"\n".join(kept).decode("utf-8", "surrogatepass")
+    gone = {k for a, b in ranges for k in range(a, b)}
+    return b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode("utf-8", "surrogatepass")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -71,43 +86,57 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, drop: array<int>): numbers of the chunks to remove from the rows (doc_id, text) of that key (``_key``).
+    """(key, drop: array<struct<begin, end>>): ranges of lines to remove from the rows (doc_id, text) of that key (``_key``).
 
     Of all chunks, hashes are counted first, with the smallest place of each; only chunks whose hash is there twice are
-    kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared, byte by byte, with the chunk at the smallest place and removed if equal, so
-    that a chunk that only shares a hash stays. Places are ordered by doc_id (null last), key and number.
+    kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared, byte by
+    byte, with the chunk at the smallest place, its model, and removed if equal: a chunk that only shares a hash stays.
+    With it go lines next to it, up to CONTEXT on either side, as far as they equal those next to the model (by 128-bit
+    hashes): chunks at the ends of a passage also hold lines of their own document and so don't repeat as a whole.
+    Places are ordered by doc_id (null last), key and line.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", _key(F.col("doc_id"), F.col("text")))
 
     def expanded(known: KeyFilter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    some = batch.slice(at, 1024)
-                    each = [(i, k, b) for i, t in enumerate(some.column("text").to_pylist()) for k, b in _parts(t)]
-                    h = np.array([xxhash.xxh3_64_intdigest(e[2]) for e in each], np.uint64).view(np.int64)
-                    if known:
-                        there = np.flatnonzero(known.hits(h))
-                        h, each = h[there], [each[k] for k in there.tolist()]
-                    i = pa.array([e[0] for e in each], pa.int64())
-                    cols = {"doc_id": some.column("doc_id").take(i), "key": some.column("key").take(i), "part": pa.array([e[1] for e in each], pa.int32()), "h": h}
-                    if known:
-                        cols["bytes"] = pa.array([e[2] for e in each], pa.binary())
-                    yield pa.RecordBatch.from_pydict(cols)
-
-        return rows.mapInArrow(run, "doc_id long, key long, part int, h long" + ", bytes binary" * bool(known))
-
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "part")
+                each = [(i, a, b, lines) for i, t in enumerate(batch.column("text").to_pylist()) for a, b, lines in _parts(t)]
+                body = [b"\n".join(lines[a:b]) for _, a, b, lines in each]
+                h = np.array([xxhash.xxh3_64_intdigest(x) for x in body], np.uint64).view(np.int64)
+                if known:
+                    there = np.flatnonzero(known.hits(h)).tolist()
+                    h, each, body = h[there], [each[k] for k in there], [body[k] for k in there]
+                i = pa.array([e[0] for e in each], pa.int64())
+                cols = {"doc_id": batch.column("doc_id").take(i), "key": batch.column("key").take(i), "begin": pa.array([e[1] for e in each], pa.int32()), "h": h}
+                if known:
+                    around = [_around(lines, a, b) for _, a, b, lines in each]
+                    cols |= {"end": pa.array([e[2] for e in each], pa.int32()), "bytes": pa.array(body, pa.binary()), "before": pa.array([x for x, _ in around], pa.binary()), "behind": pa.array([x for _, x in around], pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols)
+
+        return rows.mapInArrow(run, "doc_id long, key long, begin int, h long" + ", end int, bytes binary, before binary, behind binary" * bool(known))
+
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin")
     # Aggregated before the shuffle: a chunk in a third of all documents is one row of each task.
     counted = expanded(None).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     twice = written(counted.filter("n > 1").select("h", "first"), "chunks")
-    found = expanded(KeyFilter(twice, "h")).join(twice, "h").select("h", "key", "part", "bytes", ((F.col("first.key") == F.col("key")) & (F.col("first.part") == F.col("part"))).alias("is_first"))
+    is_first = (F.col("first.key") == F.col("key")) & (F.col("first.begin") == F.col("begin"))
+    found = expanded(KeyFilter(twice, "h")).join(twice, "h").withColumn("is_first", is_first).drop("first", "doc_id")
     found = written(found, "repeated")
-    models = found.filter("is_first").select("h", F.col("bytes").alias("model")).dropDuplicates(["h"])
+    models = found.filter("is_first").select("h", F.col("bytes").alias("model"), F.col("before").alias("model_before"), F.col("behind").alias("model_behind")).dropDuplicates(["h"])
     equal = found.filter("not is_first").join(models, "h").filter(F.col("bytes") == F.col("model"))
-    # At most as many numbers as a document has chunks.
-    return equal.groupBy("key").agg(F.sort_array(F.collect_set("part")).alias("drop"))
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in ("before", "model_before", "behind", "model_behind")}
+            up = np.array(list(map(_common, c["before"], c["model_before"])), np.int32)
+            down = np.array(list(map(_common, c["behind"], c["model_behind"])), np.int32)
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "begin": batch.column("begin").to_numpy() - up, "end": batch.column("end").to_numpy() + down})
+
+    ranges = equal.select("key", "begin", "end", "before", "model_before", "behind", "model_behind").mapInArrow(widened, "key long, begin int, end int")
+    # At most as many ranges as a document has chunks.
+    return ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("drop"))
 
 
 def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
@@ -115,8 +144,8 @@ def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
 
     Equal rows share their chunks' places and so keep or lose the same. A null text stays null; a text of which all is
     removed becomes empty; texts without repeats stay as they are, byte for byte. All other columns stay as they are,
-    and with ``dropped`` a column of that name has the numbers of the removed chunks (array<int>). An empty table gives
-    no rows.
+    and with ``dropped`` a column of that name has the removed ranges of lines (array<struct<begin, end>>; they may
+    overlap). An empty table gives no rows.
     """
     key, drop = free_name("key", docs.columns), dropped or free_name("drop", docs.columns)
     gone = written(repeats(docs).select(F.col("key").alias(key), F.col("drop").alias(drop)), "drops")
@@ -131,12 +160,12 @@ def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
             numbers = batch.column(names.index(drop)).to_pylist()
             if any(numbers):
                 column = batch.column(names.index("text"))
-                texts = [t if not d or t is None else without(t, set(d)) for t, d in zip(column.to_pylist(), numbers, strict=True)]
+                texts = [t if not d or t is None else without(t, [(r["begin"], r["end"]) for r in d]) for t, d in zip(column.to_pylist(), numbers, strict=True)]
                 batch = batch.set_column(names.index("text"), batch.schema.field(names.index("text")), pa.array(texts, column.type))
             yield batch
 
     # Only documents that may lose something are shuffled.
-    out = joined.mapInArrow(run, schema).unionByName(rest.withColumn(drop, F.lit(None).cast("array<int>")))
+    out = joined.mapInArrow(run, schema).unionByName(rest.withColumn(drop, F.lit(None).cast(RANGES)))
     if dropped:
-        return out.withColumn(dropped, F.coalesce(dropped, F.array().cast("array<int>")))
+        return out.withColumn(dropped, F.coalesce(dropped, F.array().cast(RANGES)))
     return out.drop(drop)

@@ -64,8 +64,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="removed_chunks")
-    return found.select("doc_id", "removed_chunks", F.char_length("text").cast("long").alias("n_chars"), "text")
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="removed_lines")
+    return found.select("doc_id", "removed_lines", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
