@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches
 from millrace.llm.ngrams import STEP, mix
 
 #: Added to a piece's rank; larger numbers make samples more alike in probability.
@@ -340,6 +341,8 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str | None], keys: list[int
     bound = [float(-np.log(-np.log(uniform(key_of[i : i + 1], 1 << 41)[0]))) for i in range(n)]
     doing = list(range(n))
     for round_ in range(k):
+        if not doing:
+            break
         # What is left to draw: in each text the rest of the word of the branch, and all words behind it.
         starts, owners, serial = [], [], []
         for i in doing:
@@ -419,6 +422,8 @@ def encode(docs: DataFrame, path, k: int = 2, seed: int = 0, with_ids: bool = Tr
     """
     schema = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_p double, perturbed double, inclusion double, decoded boolean" + ", ids array<int>" * with_ids
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path() if callable(path) else path
         for batch in batches:

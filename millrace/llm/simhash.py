@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, free_name, group_bounds, local_components, parted, shuffle_partitions, sorted_groups, split_hot, written
+from millrace.llm.common import bound_batches, connected_components, free_name, group_bounds, local_components, parted, shuffle_partitions, sorted_groups, split_hot, written
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared part by part.
@@ -42,14 +42,16 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp: long, the bits of the fingerprint) of every document's whole text."""
+    """(doc_id, text_hash, fp: long, the bits of the fingerprint) of every document's whole text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def near_pairs(fps: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def near_pairs(fps: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.nda
     planes = np.packbits(bits.transpose(2, 0, 1).reshape(BITS, n_words, 64), axis=2, bitorder="little")
     planes = np.ascontiguousarray(planes).view("<u8").reshape(BITS, n_words).astype(np.uint64)
     ones = bits.reshape(-1, BITS)[:n].T.astype(bool)  # bit, row
-    width = radius.bit_length()
+    width = max(1, radius.bit_length())
     end_of = np.repeat(bounds[1:], np.diff(bounds))
     rows = np.arange(n)
     first, last = (rows + 1) // 64, (end_of - 1) // 64
@@ -155,7 +157,7 @@ def links(distinct: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text): the smallest doc_id reachable over links.
+    """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text): the smallest doc_id reachable over links.
 
     Documents link if their fingerprints differ in at most radius bits. Null, empty and blank texts have fingerprint 0
     and link like any other. Repeated rows stay repeated; a null doc_id gets a component like any other row but never
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFra
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     found = connected_components(links(distinct.filter("node is not null"), radius))
     named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
@@ -183,9 +185,10 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     doubtful = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(kept_here).alias("kept")).filter("n > 1 or not kept")
     doubtful = written(doubtful.select(id_hash(F.col("doc_id")).alias("h")), "doubtful")
     touched, rest = parted(docs, id_hash(F.col("doc_id")), doubtful, "h")
-    kept = own.filter(kept_here).select(F.col("doc_id").alias(named)).distinct()
-    nth, key = free_name("nth", docs.columns), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    found = touched.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(named)), "left_semi")
+    text_hash, named_hash = F.xxhash64(F.col("text").cast("string")), free_name("kept_hash", docs.columns)
+    kept = own.filter(kept_here).select(F.col("doc_id").alias(named), F.col("text_hash").alias(named_hash)).distinct()
+    nth, key = free_name("nth", docs.columns), F.when(F.col("doc_id").isNull(), text_hash)
+    found = touched.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(named)) & (text_hash == F.col(named_hash)), "left_semi")
     # Row numbers are cut to one in the map tasks already: repeated rows are no large group.
     first = found.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text")))
     return first.filter(F.col(nth) == 1).drop(nth).unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])
