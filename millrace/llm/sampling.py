@@ -20,6 +20,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ SMOOTH = 10.0
 AHEAD = 12
 #: Random numbers of a text that are drawn at once.
 DRAWN = 64
+#: Words whose lattices are kept between batches.
+FREQUENT = 60_000
 #: Characters of one batch.
 AT_ONCE = 4_000_000
 SPACE = "▁"
 #: What a lattice falls apart into: at spaces always, and between Latin letters and all else where no piece spans them.
 _LETTERS = "A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_FINER = re.compile(f"{SPACE}*[{_LETTERS}]+|{SPACE}*[^{_LETTERS}{SPACE}]+|{SPACE}+")
+_WORDS = re.compile(" *[^ ]+| +")
+_FINER = re.compile(f" *[{_LETTERS}]+| *[^{_LETTERS} ]+| +")
 _SPANS = re.compile(f"[{_LETTERS}][^{_LETTERS}{SPACE}]|[^{_LETTERS}{SPACE}][{_LETTERS}]")
 
 
@@ -76,6 +79,8 @@ class Vocabulary:
         p = SentencePieceProcessor(model_file=path)
         n = p.vocab_size()
         self.size = n
+        self.frequent: dict[str, int] = {}
+        self.lattice: Lattice | None = None
         self.byte_ids = {int(p.id_to_piece(i)[3:-1], 16): i for i in range(n) if p.is_byte(i)}
         kept = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         texts = {i: p.id_to_piece(i) for i in kept}
@@ -107,6 +112,13 @@ class Vocabulary:
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
 
+    def remember(self, numbers: dict[str, int], counts: np.ndarray) -> None:
+        """Keeps the lattices of the words met most often, to build them once only."""
+        often = np.argsort(-counts, kind="stable")[:FREQUENT]
+        words = list(numbers)
+        self.frequent = {words[i]: k for k, i in enumerate(often.tolist())}
+        self.lattice = Lattice(self, list(self.frequent))
+
     def decode(self, ids) -> str:
         """The text of ids: their bytes, without the space that encoding puts before the text."""
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -120,6 +132,7 @@ class Lattice:
         self.v = vocabulary
         text = "".join(words)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points[points == 32] = ord(SPACE)  # the vocabulary's mark of a space
         n, longest = len(points), vocabulary.longest
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(lengths)
@@ -196,11 +209,28 @@ class Lattice:
         self.p = np.exp(self.log_p)
         #: Edges that are the only one at their place.
         self.alone = np.repeat(n_edges, n_edges) == 1
-        #: Shares of the edges of a place up to each; 2 at the last, which takes what rounding leaves.
-        run = np.cumsum(self.p)
-        self.upto = run - np.repeat(np.concatenate([[0.0], run])[self.first[:-1]], n_edges)
+        #: Shares of the edges of a place up to each, added up place by place; 2 at the last, which takes what rounding leaves.
+        self.upto = self.p.copy()
+        for k in range(1, int(n_edges.max(initial=0))):
+            edge = self.first[:-1][n_edges > k] + k
+            self.upto[edge] += self.upto[edge - 1]
         self.upto[self.first[1:] - 1] = 2
 
+    def with_(self, other: Lattice) -> Lattice:
+        """Both lattices in one: the words of this one, then those of the other."""
+        out = object.__new__(Lattice)
+        out.v = self.v
+        n, e, f = len(self.end_of), len(self.place), len(self.fallback)
+        ids = np.where(other.ids >= self.v.size, other.ids + f, other.ids) if f and other.fallback else other.ids
+        shift = {"starts": n, "end_of": n, "place": n, "size": 0, "log_p": 0, "p": 0, "alone": 0, "upto": 0}
+        for name, by in shift.items():
+            x = getattr(other, name)
+            setattr(out, name, np.concatenate([getattr(self, name), x + by if by else x]))
+        out.ids = np.concatenate([self.ids, ids])
+        out.first = np.concatenate([self.first[:-1], other.first + e])
+        out.fallback = self.fallback + other.fallback
+        return out
+
     def paths(self, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random way from each place to its word's end: its edges, and their number."""
         n = np.zeros(len(starts), np.int64)
@@ -328,9 +358,13 @@ class _Search:
 
 def sample_batch(vocabulary: Vocabulary, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations, best first: (ids, log-probability, perturbed one, inclusion probability)."""
-    numbers = _Numbers()
-    per_text = [np.fromiter(map(numbers.__getitem__, vocabulary.words.findall((SPACE + t).replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    lattice = Lattice(vocabulary, list(numbers))
+    numbers = _Numbers(vocabulary.frequent)
+    per_text = [np.fromiter(map(numbers.__getitem__, vocabulary.words.findall(" " + t.replace(SPACE, " "))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    lattice = Lattice(vocabulary, list(islice(numbers, len(vocabulary.frequent), None)))
+    if vocabulary.lattice:
+        lattice = vocabulary.lattice.with_(lattice)
+    elif len(numbers) > FREQUENT // 8:
+        vocabulary.remember(numbers, np.bincount(np.concatenate(per_text), minlength=len(numbers)))
     n = len(texts)
     out: list[list] = [[] for _ in texts]
     key_of = np.array(keys, np.uint64)
