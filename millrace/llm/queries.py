@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, language, lines, neardup_vectors, packing, quality, records, sampling, secrets, simhash, tokens
+from millrace.llm import ann, language, lines, neardup_vectors, oracle, packing, quality, records, sampling, secrets, simhash, tokens
 from millrace.llm.common import table
 
 #: Folder of the public tokenizer files; None: where the installed package says.
@@ -88,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": oracle.secrets(), "op4_ann": oracle.ANN, "op5_embedding_neardup": oracle.EMBEDDING_NEARDUP}

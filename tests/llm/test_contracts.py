@@ -21,6 +21,13 @@ def vectors(duck):
     return {i: (label, np.array(v, np.float64)) for i, label, v in duck.execute("select vec_id, label, embedding from embeddings").fetchall()}
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_equals_the_other_engine(spark, duck, sf, name):
+    from compare import check
+
+    assert check(spark, duck, Q.queries()[name], Q.oracle_sql()[name], sf) == ""
+
+
 def run(spark, sf, name):
     return Q.queries()[name](spark, sf).toPandas()
 
