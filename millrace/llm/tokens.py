@@ -15,9 +15,9 @@ LATIN = "0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 PARTS = re.compile(f"\0|\\s*[{LATIN}]+|\\s*[^{LATIN}\\s\0]+|\\s+")
 OTHER = re.compile("['ɐ-\U0010ffff]")
 #: Words kept between texts; beyond that those met once are forgotten (memory only saves time).
-MEMORY = 600_000
+MEMORY = 300_000
 #: Parts of words kept; beyond that they are all forgotten.
-PARTS_MEMORY = 1_500_000
+PARTS_MEMORY = 700_000
 #: Characters encoded at once, and words.
 AT_ONCE, WORDS_AT_ONCE = 2_000_000, 8192
 
