@@ -63,27 +63,20 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """df.mapInArrow for a function from one RecordBatch to one dict of columns."""
-    target: list[pa.Schema] = []
-    fields = _parsed(df.sparkSession, schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not target:
-            target.append(fields)
         for batch in batches:
             if batch.num_rows:
                 cols = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target[0]], schema=target[0])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
-def _parsed(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """From batches sorted by keys: tables that end where a group of equal keys ends, so that no group is split.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import time
 from collections.abc import Iterable
 from itertools import chain, islice
 
@@ -52,9 +54,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.leading_space = leading_space
+        self.lock, self.used = threading.Lock(), time.monotonic()
         self._reset_parts()
         self._reset()
 
+    def release(self, idle: float) -> None:
+        """Forgets all if not used for so many seconds."""
+        if time.monotonic() - self.used > idle and len(self.parts) > 1 and self.lock.acquire(blocking=False):
+            try:
+                self._reset_parts()
+                self._reset()
+            finally:
+                self.lock.release()
+
     def _reset(self) -> None:
         self.words, self.ids, self.starts, self.met = _Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         if len(self.parts) > PARTS_MEMORY:
@@ -103,7 +115,12 @@ class Encoder:
 
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """One uint32 array a text; null counts as the empty text."""
-        texts = [t or "" for t in texts]
+        with self.lock:
+            out = self._encoded([t or "" for t in texts])
+            self.used = time.monotonic()
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         at = 0
         while at < len(texts):
@@ -144,12 +161,23 @@ class Encoder:
             out[k] = ids[a:b]
 
 
+#: Seconds without use after which a worker's memory of words is released: the worker may serve other operators next.
+IDLE = 3.0
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+def _watch() -> None:
+    while True:
+        time.sleep(1)
+        for e in list(_encoders.values()):
+            e.release(IDLE)
+
+
 def encoder(path: str, leading_space: bool) -> Encoder:
     """The worker's encoder for that file; made once a process."""
     key = path, leading_space
     if key not in _encoders:
+        if not _encoders:
+            threading.Thread(target=_watch, daemon=True).start()
         _encoders[key] = Encoder(path, leading_space)
     return _encoders[key]
