@@ -54,13 +54,11 @@ _both("s7_single_row", "select 1 + 1 as two, 'x' as letter")
 
 @frame("s8_csv_import", "select r_regionkey::bigint as id, r_name as name, r_regionkey * 1.5::double as half from region")
 def _csv(e: Engine) -> DataFrame:
-    from millrace.engine.store import Store
     from millrace.sources.csv_import import import_csv
 
     path = f"{e.store.root}/csv"
-    assert isinstance(e.store, Store)
-    rows = e.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 0.0).alias("k"))
-    rows.select("id", "name", (F.col("k") * 1.5).alias("half")).coalesce(1).write.option("header", True).csv(path)
+    rows = e.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") * F.lit(1.5)).alias("half"))
+    rows.coalesce(1).write.option("header", True).csv(path)  # five rows: one file
     import_csv(e, path, "imported")
     return e.table("imported")
 
@@ -88,7 +86,6 @@ def _render(e: Engine) -> DataFrame:
 @frame("s13_attach", "select n_nationkey::bigint as k, r_name as region from nation join region on n_regionkey = r_regionkey")
 def _attach(e: Engine) -> DataFrame:
     other = Engine(e.spark)
-    e.table("region").createOrReplaceTempView("src_region")
     other.register_frame("src", e.table("region"))
     other.sql("create table reg as select cast(r_regionkey as int) as id, r_name as name from src")
     e.sql(f"attach '{other.store.root}' as other")
