@@ -111,6 +111,8 @@ class Vocabulary:
             self.bytes[i] = texts[i].encode("utf-8").replace(SPACE.encode(), b" ")
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, n)
+        self.flat, self.begins = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.lengths) - self.lengths
 
     def remember(self, numbers: dict[str, int], counts: np.ndarray) -> None:
         """Keeps the lattices of the words met most often, to build them once only."""
@@ -125,6 +127,16 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decoded(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each row of ids, with the space before the text; all rows at once."""
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        data = self.flat[np.arange(ends[-1]) + np.repeat(self.begins[ids] - ends[:-1], lengths)].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Lattice:
     """Lattices of the distinct words of a batch. A place is a character; an edge is its place and its length."""
 
@@ -464,10 +476,15 @@ def encode(docs: DataFrame, path, k: int = 2, seed: int = 0, with_ids: bool = Tr
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                rows = []
+                rows, of, all_ids = [], [], []
                 for i, found in samples(texts, row_keys(doc_ids, seed), where, k):
                     for j, (ids, log_p, perturbed, inclusion) in enumerate(found):
-                        rows.append((doc_ids[i], j + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, perturbed, inclusion, vocabulary(where).decode(ids.tolist()) == (texts[i] or ""), *[ids.astype(np.int32)] * with_ids))
+                        of.append(i)
+                        all_ids.append(ids)
+                        rows.append((doc_ids[i], j + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, perturbed, inclusion))
+                back = vocabulary(where).decoded(all_ids)
+                given = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+                rows = [(*r, b == given[i], *[ids.astype(np.int32)] * with_ids) for r, b, i, ids in zip(rows, back, of, all_ids, strict=True)]
                 if rows:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
                     names = ["doc_id", "sample", "n_tokens", "ids_crc32", "log_p", "perturbed", "inclusion", "decoded", "ids"]

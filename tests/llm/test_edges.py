@@ -293,6 +293,10 @@ def test_sampling_is_exact():
     assert abs(np.mean(weights) - 1) < 0.02
     for s, q in p.items():
         assert abs(first[s] / n - q) < 5 * math.sqrt(q / n) + 1e-3
+    v = sampling.vocabulary(PATH)
+    ids = [np.array(x, np.int64) for x in ([], [i for i, b in enumerate(v.bytes) if b == b" th"], [v.byte_ids[0xE2], v.byte_ids[0x82], v.byte_ids[0xAC]])]
+    assert v.decoded(ids) == [b"", b" th", "€".encode()]
+    assert [v.decode(x.tolist()) for x in ids] == ["", "th", "€"]
     few = sampling.sample_batch(sampling.vocabulary(PATH), ["a"], [1], 5)[0]
     assert 1 <= len(few) < 5 and abs(sum(math.exp(x[1]) for x in few) - 1) < 1e-6
     assert all(x[3] == 1 for x in few)
