@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,6 +51,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXTS_AT_ONCE))
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker hands memory that it no longer uses back to the system.
+
+    Workers are kept for later tasks, and allocators keep what they have had: without this an executor holds, beside its
+    own memory, the largest batch that each of its workers has ever seen.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,7 +85,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             if batch.num_rows:
                 cols = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
@@ -83,7 +99,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
     A table holds many small groups or one large one; memory is one batch plus the largest group.
     """
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in tidy(batches):
         n = batch.num_rows
         if not n:
             continue

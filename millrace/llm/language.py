@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, tidy
 from millrace.llm.ngrams import STEP, add_counts, mix, runs
 
 #: Hash buckets of the n-gram models, and lengths of n-grams in bytes, each with its own buckets.
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)  # of a size that only BUCKETS and the languages set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import KeyFilter, bound_batches, free_name, parted, written
+from millrace.llm.common import KeyFilter, bound_batches, free_name, parted, tidy, written
 
 #: Lines whose hashes the rolling hash spans, and one in how many places it makes a boundary.
 WINDOW, DIVISOR = 2, 2
@@ -101,7 +101,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def expanded(known: KeyFilter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tidy(batches):
                 each = [(i, a, b, lines) for i, t in enumerate(batch.column("text").to_pylist()) for a, b, lines in _parts(t)]
                 body = [b"\n".join(lines[a:b]) for _, a, b, lines in each]
                 h = np.array([xxhash.xxh3_64_intdigest(x) for x in body], np.uint64).view(np.int64)
@@ -128,7 +128,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     equal = found.filter("not is_first").join(models, "h").filter(F.col("bytes") == F.col("model"))
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             c = {n: batch.column(n).to_pylist() for n in ("before", "model_before", "behind", "model_behind")}
             up = np.array(list(map(_common, c["before"], c["model_before"])), np.int32)
             down = np.array(list(map(_common, c["behind"], c["model_behind"])), np.int32)
@@ -156,7 +156,7 @@ def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     names = joined.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             numbers = batch.column(names.index(drop)).to_pylist()
             if any(numbers):
                 column = batch.column(names.index("text"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, tidy
 
 #: Multipliers of the hashes: odd, so that they can be undone modulo 2**64.
 STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -91,7 +91,7 @@ def add_counts(docs: DataFrame, groups_of: Callable[[pa.RecordBatch], Iterator[t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             for name, found in groups_of(batch):
                 totals.setdefault(name, np.zeros(buckets, np.int64))
                 totals[name] += np.bincount(found, minlength=buckets)

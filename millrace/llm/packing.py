@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, written
+from millrace.llm.common import bound_batches, tidy, written
 
 #: Pieces that one task packs together. A group's last sequence may stay part empty, one in some thousands.
 GROUP = 20_000
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], end_id:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 cols: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}

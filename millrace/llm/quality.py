@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, parted, written
+from millrace.llm.common import free_name, parted, tidy, written
 from millrace.llm.ngrams import add_counts, mix, word_ngrams
 
 #: Hash buckets of the n-gram models.
@@ -85,7 +85,7 @@ def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     ratio = spark.sparkContext.broadcast(log_ratio(counts["target"], counts["raw"]) if usable else none.astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             n = np.zeros(batch.num_rows, np.int64)
             total = np.zeros(batch.num_rows)
             for at, some, bucket, doc in word_ngrams(batch.column("text").to_pylist(), BUCKETS):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, scratch_path, shuffle_partitions
+from millrace.llm.common import bound_batches, scratch_path, shuffle_partitions, tidy
 
 #: Fixed value of the masked-checksum convention of record files.
 MASK = 0xA282EAD8
@@ -88,7 +88,7 @@ def write_records(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], e
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}"
         attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
         entries, offset, before, out = [], 0, 0, None
-        for batch in batches:
+        for batch in tidy(batches):
             if out is None:
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(f"{attempt}.tmp")
@@ -127,7 +127,7 @@ def read_records(path: str, files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(path)
-        for batch in batches:
+        for batch in tidy(batches):
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with store.open_input_stream(f"{folder}/{name}.index") as f:
                     index = np.frombuffer(f.read(), INDEX)

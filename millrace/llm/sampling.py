@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, tidy
 from millrace.llm.ngrams import STEP, mix
 
 #: Added to a piece's rank; larger numbers make samples more alike in probability.
@@ -472,7 +472,7 @@ def encode(docs: DataFrame, path, k: int = 2, seed: int = 0, with_ids: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path() if callable(path) else path
-        for batch in batches:
+        for batch in tidy(batches):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, connected_components, free_name, group_bounds, local_components, parted, shuffle_partitions, sorted_groups, split_hot, written
+from millrace.llm.common import bound_batches, connected_components, free_name, group_bounds, local_components, parted, shuffle_partitions, sorted_groups, split_hot, tidy, written
 
 BITS = 64
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared part by part.
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
