@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks: chunks of lines that repeat across the corpus are removed but for the first."""
+"""Line dedup by content-defined runs: runs of lines that repeat across the corpus are removed but for the first."""
 
 from __future__ import annotations
 
@@ -12,58 +12,45 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import KeyFilter, bound_batches, free_name, parted, tidy, written
 
-#: Lines whose hashes the rolling hash spans, and one in how many places it makes a boundary.
-WINDOW, DIVISOR = 2, 2
-#: A chunk takes part if it has so many lines and words, or one line of so many words.
+#: A run takes part if it has so many lines and words, or is one line of so many words.
 LEAST_LINES, LEAST_WORDS, LONG_LINE = 2, 12, 40
-#: Lines on either side of a repeated chunk that are looked at for more of the passage.
+#: Lines on either side of a repeated run that are looked at for more of the passage (lines with words are in runs of
+#: their own by then; these are blank lines at its ends).
 CONTEXT = 12
 RANGES = "array<struct<begin:int,end:int>>"
-STEP = 0x9E3779B97F4A7C15
-_ALL = (1 << 64) - 1
+#: Documents whose runs are held at once.
+AT_ONCE = 100
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(begin, end) of the chunks of a document's lines.
+def runs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(begin, end) of a document's runs of lines, in order; they overlap.
 
-    A rolling hash over the hashes of the last WINDOW lines sets a boundary behind a line if its top bits are zero, so
-    boundaries depend on these lines alone and insertions elsewhere don't shift them. Lines of LONG_LINE words or more
-    are chunks of their own.
+    From each line with words the shortest run of LEAST_LINES lines and LEAST_WORDS words or more, forwards and
+    backwards, and each line of LONG_LINE words or more. A run depends on its own lines alone. So of a passage that
+    large every run inside repeats with it whatever surrounds it, and every line with words is in one: forward runs
+    cover it but for an end of less than LEAST_WORDS, and that is in the backward run from its last line.
     """
-    out, begin, hashes, h = [], 0, [], 0
-    drop = pow(STEP, WINDOW, 1 << 64)
-    for k, line in enumerate(lines):
-        hashes.append(xxhash.xxh64_intdigest(line))
-        h = (h * STEP + hashes[k] - (hashes[k - WINDOW] * drop if k >= WINDOW else 0)) & _ALL
-        if len(line) >= 2 * LONG_LINE and len(line.split()) >= LONG_LINE:
-            if begin < k:
-                out.append((begin, k))
-            out.append((k, k + 1))
-            begin = k + 1
-        elif k >= WINDOW - 1 and (h >> 32) % DIVISOR == 0 and k + 1 - begin >= LEAST_LINES:
-            out.append((begin, k + 1))
-            begin = k + 1
-    if begin < len(lines):
-        out.append((begin, len(lines)))
-    return out
-
-
-def repeatable(lines: list[bytes], begin: int, end: int) -> bool:
-    """Whether a chunk is large enough to be removed where it repeats."""
-    words = sum(len(x.split()) for x in lines[begin:end])
-    return words >= (LEAST_WORDS if end - begin >= LEAST_LINES else LONG_LINE)
+    n, words = len(lines), np.array([len(x.split()) for x in lines], np.int64)
+    before = np.concatenate([[0], np.cumsum(words)])  # words before each line
+    k = np.flatnonzero(words)
+    end = np.maximum(np.searchsorted(before, before[k] + LEAST_WORDS), k + LEAST_LINES)
+    begin = np.minimum(np.searchsorted(before, before[k + 1] - LEAST_WORDS, side="right") - 1, k + 1 - LEAST_LINES)
+    long = np.flatnonzero(words >= LONG_LINE).tolist()
+    ahead, back = end <= n, begin >= 0
+    ahead = ahead & (before[np.minimum(end, n)] - before[k] >= LEAST_WORDS)
+    back = back & (before[k + 1] - before[np.maximum(begin, 0)] >= LEAST_WORDS)
+    return sorted({*zip(k[ahead].tolist(), end[ahead].tolist(), strict=True), *zip(begin[back].tolist(), (k[back] + 1).tolist(), strict=True), *((j, j + 1) for j in long)})
 
 
 def _parts(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(begin, end, all lines) of the chunks of a text that take part."""
+    """(begin, end, all lines) of the runs of a text that take part."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    for a, b in chunks(lines):
-        if repeatable(lines, a, b):
-            yield a, b, lines
+    for a, b in runs(lines):
+        yield a, b, lines
 
 
 def _around(lines: list[bytes], a: int, b: int) -> tuple[bytes, bytes]:
-    """128-bit hashes of the lines before (nearest first) and behind a chunk."""
+    """128-bit hashes of the lines before (nearest first) and behind a run."""
     digest = xxhash.xxh3_128_digest
     return b"".join(map(digest, lines[max(0, a - CONTEXT) : a][::-1])), b"".join(map(digest, lines[b : b + CONTEXT]))
 
@@ -88,12 +75,11 @@ def _key(doc_id: Column, text: Column) -> Column:
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, drop: array<struct<begin, end>>): ranges of lines to remove from the rows (doc_id, text) of that key (``_key``).
 
-    Of all chunks, hashes are counted first, with the smallest place of each; only chunks whose hash is there twice are
+    Of all runs, hashes are counted first, with the smallest place of each; only runs whose hash is there twice are
     kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared, byte by
-    byte, with the chunk at the smallest place, its model, and removed if equal: a chunk that only shares a hash stays.
+    byte, with the run at the smallest place, its model, and removed if equal: a run that only shares a hash stays.
     With it go lines next to it, up to CONTEXT on either side, as far as they equal those next to the model (by 128-bit
-    hashes): chunks at the ends of a passage also hold lines of their own document and so don't repeat as a whole.
-    Places are ordered by doc_id (null last), key and line.
+    hashes). Places are ordered by doc_id (null last), key and line.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -101,26 +87,27 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def expanded(known: KeyFilter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tidy(batches):
-                each = [(i, a, b, lines) for i, t in enumerate(batch.column("text").to_pylist()) for a, b, lines in _parts(t)]
-                body = [b"\n".join(lines[a:b]) for _, a, b, lines in each]
-                h = np.array([xxhash.xxh3_64_intdigest(x) for x in body], np.uint64).view(np.int64)
-                if known:
-                    there = np.flatnonzero(known.hits(h)).tolist()
-                    h, each, body = h[there], [each[k] for k in there], [body[k] for k in there]
-                i = pa.array([e[0] for e in each], pa.int64())
-                cols = {"doc_id": batch.column("doc_id").take(i), "key": batch.column("key").take(i), "begin": pa.array([e[1] for e in each], pa.int32()), "h": h}
-                if known:
-                    around = [_around(lines, a, b) for _, a, b, lines in each]
-                    cols |= {"end": pa.array([e[2] for e in each], pa.int32()), "bytes": pa.array(body, pa.binary()), "before": pa.array([x for x, _ in around], pa.binary()), "behind": pa.array([x for _, x in around], pa.binary())}
-                yield pa.RecordBatch.from_pydict(cols)
+            for whole in tidy(batches):
+                for at in range(0, whole.num_rows, AT_ONCE):
+                    batch = whole.slice(at, AT_ONCE)
+                    each = [(i, a, b, lines) for i, t in enumerate(batch.column("text").to_pylist()) for a, b, lines in _parts(t)]
+                    h = np.array([xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) for _, a, b, lines in each], np.uint64).view(np.int64)
+                    if known:
+                        there = np.flatnonzero(known.hits(h)).tolist()
+                        h, each = h[there], [each[k] for k in there]
+                    i = pa.array([e[0] for e in each], pa.int64())
+                    cols = {"doc_id": batch.column("doc_id").take(i), "key": batch.column("key").take(i), "begin": pa.array([e[1] for e in each], pa.int32()), "h": h}
+                    if known:
+                        around = [_around(lines, a, b) for _, a, b, lines in each]
+                        cols |= {"end": pa.array([e[2] for e in each], pa.int32()), "bytes": pa.array([b"\n".join(lines[a:b]) for _, a, b, lines in each], pa.binary()), "before": pa.array([x for x, _ in around], pa.binary()), "behind": pa.array([x for _, x in around], pa.binary())}
+                    yield pa.RecordBatch.from_pydict(cols)
 
         return rows.mapInArrow(run, "doc_id long, key long, begin int, h long" + ", end int, bytes binary, before binary, behind binary" * bool(known))
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin")
-    # Aggregated before the shuffle: a chunk in a third of all documents is one row of each task.
+    # Aggregated before the shuffle: a run in a third of all documents is one row of each task.
     counted = expanded(None).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    twice = written(counted.filter("n > 1").select("h", "first"), "chunks")
+    twice = written(counted.filter("n > 1").select("h", "first"), "runs")
     is_first = (F.col("first.key") == F.col("key")) & (F.col("first.begin") == F.col("begin"))
     found = expanded(KeyFilter(twice, "h")).join(twice, "h").withColumn("is_first", is_first).drop("first", "doc_id")
     found = written(found, "repeated")
@@ -135,14 +122,14 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "begin": batch.column("begin").to_numpy() - up, "end": batch.column("end").to_numpy() + down})
 
     ranges = equal.select("key", "begin", "end", "before", "model_before", "behind", "model_behind").mapInArrow(widened, "key long, begin int, end int")
-    # At most as many ranges as a document has chunks.
+    # At most as many ranges as a document has runs.
     return ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("drop"))
 
 
 def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
-    """docs with repeated chunks of lines removed from ``text``, but for the first of each.
+    """docs with repeated runs of lines removed from ``text``, but for the first of each.
 
-    Equal rows share their chunks' places and so keep or lose the same. A null text stays null; a text of which all is
+    Equal rows share their runs' places and so keep or lose the same. A null text stays null; a text of which all is
     removed becomes empty; texts without repeats stay as they are, byte for byte. All other columns stay as they are,
     and with ``dropped`` a column of that name has the removed ranges of lines (array<struct<begin, end>>; they may
     overlap). An empty table gives no rows.
