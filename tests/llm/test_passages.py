@@ -45,6 +45,12 @@ def test_few_long_lines(spark):
     assert got == {(i, a + k) for i, a, n in where for k in range(n)}
 
 
+def test_many_short_lines(spark):
+    docs, where = planted([(60, 1), (30, 2), (20, 3), (300, 1), (13, 4)], 7)
+    got = removed(spark, docs)
+    assert got == {(i, a + k) for i, a, n in where for k in range(n)}
+
+
 def test_runs():
     rng = random.Random(6)
     for _ in range(300):
