@@ -2,7 +2,7 @@
 
 quality     documents that importance resampling rejects go
 line_dedup  repeated chunks of lines go but for the first; a document of which nothing is left goes
-near_dedup  of each group of SimHash near-duplicates (five words) the document of the smallest doc_id stays
+near_dedup  of each group of near-duplicates (shingles of five words, similarity 0.8) the smallest doc_id stays
 secrets     spans of secrets are masked in the texts
 packing     texts become pieces of at most 4096 tokens, packed into sequences by best-two-fit
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, packing, quality, secrets, simhash
+from millrace.llm import lines, packing, quality, secrets, shingles, simhash
 from millrace.llm.common import table, written
 from millrace.llm.queries import word_bpe
 
@@ -38,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs, words=5, radius=6)
+    return simhash.first_of_groups(docs, shingles.near_duplicates(docs, words=5, radius=6, least=0.8))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

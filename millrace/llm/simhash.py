@@ -178,7 +178,12 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     Of rows with the same doc_id the one of the smallest text stays. A row of null doc_id goes if its group has an id;
     others stay, equal texts once.
     """
-    own, named = written(near_duplicates(docs, words, radius), "groups"), free_name("kept_id", docs.columns)
+    return first_of_groups(docs, near_duplicates(docs, words, radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each component of groups (doc_id, text_hash, component_id), as ``deduplicated`` says."""
+    own, named = written(groups, "groups"), free_name("kept_id", docs.columns)
     id_hash = lambda c: F.xxhash64(F.coalesce(c.cast("bigint"), F.lit(-1)), c.isNull())
     # Rows that may go: those of another document's group, and those whose id is there twice. All others pass as they are.
     kept_here = F.col("doc_id").eqNullSafe(F.col("component_id"))
