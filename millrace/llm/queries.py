@@ -80,7 +80,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.encode(table(spark, sf_dir, "documents"), partial(tokenizer_path, "piece_bpe_32k.model"), k=2, with_ids=False)
+    return sampling.encode(table(spark, sf_dir, "documents"), partial(tokenizer_path, "piece_bpe_32k.model"), k=2)
 
 
 def queries() -> dict:
