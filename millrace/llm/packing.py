@@ -90,7 +90,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-def pieces(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then end_id, cut where longer than capacity.
 
     A null text counts as empty: its piece holds end_id alone. Other columns are ignored.
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], end_id:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 cols: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     for k, p in enumerate(cut(np.append(ids, end_id).astype("<u4"), capacity)):
                         cols["doc_id"].append(doc_id)
                         cols["piece"].append(k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(name: str, leading_space: bool, texts: list) -> list:
+def _encode(name: str, leading_space: bool, texts: pa.Array) -> list[np.ndarray]:
     return tokens.encoder(tokenizer_path(name), leading_space)(texts)
 
 

@@ -69,7 +69,7 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_records(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], end_id: int, vocabulary: int, path: str | None = None) -> tuple[str, DataFrame]:
+def write_records(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], end_id: int, vocabulary: int, path: str | None = None) -> tuple[str, DataFrame]:
     """Writes the ids of every text of docs (doc_id, text) and end_id after each, in ascending doc_id order.
 
     Documents are dealt by ranges of doc_id; each task streams its range, sorted, into one data file and one index file
@@ -95,7 +95,7 @@ def write_records(docs: DataFrame, encode: Callable[[list], list[np.ndarray]], e
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 framed = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     payload, flags = serialize(doc_id, np.append(ids, end_id), narrow)
                     record = frame(payload)
                     entries.append((doc_id or 0, flags, offset, before, len(ids) + 1))

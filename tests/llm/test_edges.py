@@ -123,8 +123,8 @@ def test_frames():
 
 @pytest.mark.parametrize(("name", "space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_the_library(name, space, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMORY", 20)
-    monkeypatch.setattr(tokens, "PARTS_MEMORY", 30)
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    monkeypatch.setattr(tokens, "AT_ONCE", 4000)
     e = tokens.Encoder(queries.tokenizer_path(name), space)
     texts = ["", " ", "  ", " a", "a ", "a  b\n\n c", "it's \n\n b", "\n a\n", "x \n\nb", "<|endoftext|> hi", "é ẞ İ don't 12 34's", "a\tb \tc\r\n d", "日本語 テスト", "\0 \1", "ab_c. _d's (x),','", "x² ½µ ªz", "a \n\nb c", "русскaб c", *[" ".join(f"w{i * k}q$$" for i in range(40)) for k in range(9)]]
     for batch in (texts, *[[t] for t in texts]):
