@@ -22,13 +22,14 @@ _MULTIPLY, _ADD = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoi
 _MULTIPLY |= np.uint64(1)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct ones, sorted, of the rows that ``simhash.shingle_hashes`` gives."""
+    return np.unique(hashes.view(">u8").ravel().astype(np.uint64))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes, sorted, of a text's shingles; words and shingles are those of ``simhash.fingerprint``."""
-    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(words, len(split))
-    digest = xxhash.xxh64_digest
-    hashes = b"".join({digest(b" ".join(split[a : a + k]), simhash.SEED) for a in range(len(split) - k + 1 if split else 0)})
-    return np.sort(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    return distinct(simhash.shingle_hashes(text, words))
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -93,9 +94,9 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, least: float) -> D
             texts = batch.column("text")
             fps, sets, keys = [], [], []
             for t in texts:
-                t = t.as_py()
-                own = shingles(t, words)
-                fps.append(simhash.fingerprint(t, words))
+                hashes = simhash.shingle_hashes(t.as_py(), words)
+                own = distinct(hashes)
+                fps.append(simhash.fingerprint_of(hashes))
                 sets.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 keys.append(bands(own))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))

@@ -17,28 +17,41 @@ BITS = 64
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared part by part.
 CHUNK = 20_000
 SEED = 42
+#: Shingles of a text hashed at once.
+AT_ONCE = 65_536
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit SimHash of all ``words``-word shingles, repeats included; 0 for no words or null.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each ``words``-word shingle of a text, repeats included, as rows of 8 bytes; none for no words.
 
-    A-Z are lower-cased, words are runs of anything but ASCII white space, shingles are joined by one space and hashed
-    by XXH64 with seed 42. Fewer words make one shingle. A bit is 1 if it is in over half the hashes.
+    A-Z are lower-cased, words are runs of anything but ASCII white space, shingles are joined by one space. Fewer words
+    make one shingle.
     """
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not split:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(split)
     ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(split))
+    begin, end = starts[: len(split) - k + 1], ends[k - 1 :]
     digest, hashes = xxhash.xxh64_digest, []
-    begin, end = starts[: len(split) - k + 1].tolist(), ends[k - 1 :].tolist()
+    for at in range(0, len(begin), AT_ONCE):
+        hashes.append(b"".join([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + AT_ONCE].tolist(), end[at : at + AT_ONCE].tolist(), strict=True)]))
+    return np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of these hashes: a bit is 1 if it is in over half of them; 0 for none."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(begin), 65_536):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + 65_536], end[at : at + 65_536], strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * counts > len(begin)).tobytes(), "big")
+    for at in range(0, len(hashes), AT_ONCE):
+        counts += np.unpackbits(hashes[at : at + AT_ONCE], axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The 64-bit SimHash of all ``words``-word shingles of a text, repeats included; 0 for no words or null."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
