@@ -171,8 +171,8 @@ def split_hot(rows: DataFrame, keys: list[str], chunk: int, by: str) -> DataFram
     )
 
 
-#: Bits of a key filter: 16 MB whatever the number of keys.
-FILTER_BITS = 27
+#: Bits of a key filter: 4 MB whatever the number of keys.
+FILTER_BITS = 25
 
 
 class KeyFilter:
@@ -180,7 +180,7 @@ class KeyFilter:
 
     A key of the set always hits. With more keys more others hit too, so a filter can save a shuffle and never loses a
     row; the join that follows decides. The set itself stays distributed: the driver gets the map's words that aren't
-    zero, 2**21 at most.
+    zero, 2**19 at most.
     """
 
     def __init__(self, keys: DataFrame, column: str):

@@ -11,18 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import KeyFilter, bound_batches, free_name, parted, tidy, written
+from millrace.llm.ngrams import mix
 
 #: A run takes part if it has so many lines and words, or is one line of so many words.
 LEAST_LINES, LEAST_WORDS, LONG_LINE = 2, 12, 40
-#: Lines on either side of a repeated run that are looked at for more of the passage (lines with words are in runs of
-#: their own by then; these are blank lines at its ends).
-CONTEXT = 12
+#: Base of the rolling hash, and what undoes it modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+UNDO = pow(BASE, -1, 1 << 64)
 RANGES = "array<struct<begin:int,end:int>>"
 #: Documents whose runs are held at once.
 AT_ONCE = 100
 
 
-def runs(lines: list[bytes]) -> list[tuple[int, int]]:
+def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(begin, end) of a document's runs of lines, in order; they overlap.
 
     From each line with words the shortest run of LEAST_LINES lines and LEAST_WORDS words or more, forwards and
@@ -30,35 +31,30 @@ def runs(lines: list[bytes]) -> list[tuple[int, int]]:
     large every run inside repeats with it whatever surrounds it, and every line with words is in one: forward runs
     cover it but for an end of less than LEAST_WORDS, and that is in the backward run from its last line.
     """
-    n, words = len(lines), np.array([len(x.split()) for x in lines], np.int64)
+    n, words = len(lines), np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     before = np.concatenate([[0], np.cumsum(words)])  # words before each line
     k = np.flatnonzero(words)
     end = np.maximum(np.searchsorted(before, before[k] + LEAST_WORDS), k + LEAST_LINES)
     begin = np.minimum(np.searchsorted(before, before[k + 1] - LEAST_WORDS, side="right") - 1, k + 1 - LEAST_LINES)
-    long = np.flatnonzero(words >= LONG_LINE).tolist()
     ahead, back = end <= n, begin >= 0
     ahead = ahead & (before[np.minimum(end, n)] - before[k] >= LEAST_WORDS)
     back = back & (before[k + 1] - before[np.maximum(begin, 0)] >= LEAST_WORDS)
-    return sorted({*zip(k[ahead].tolist(), end[ahead].tolist(), strict=True), *zip(begin[back].tolist(), (k[back] + 1).tolist(), strict=True), *((j, j + 1) for j in long)})
+    long = np.flatnonzero(words >= LONG_LINE)
+    each = np.unique(np.concatenate([k[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + k[back] + 1, long * (n + 1) + long + 1]))
+    return each // (n + 1), each % (n + 1)
 
 
-def _parts(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(begin, end, all lines) of the runs of a text that take part."""
-    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    for a, b in runs(lines):
-        yield a, b, lines
+def rolling(lines: list[bytes], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The rolling hash over the hashes of the lines of each run: from sums over the whole text, whatever a run's length."""
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(lines), BASE, np.uint64))])
+    undo = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(lines), UNDO, np.uint64))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own) * powers[:-1])])
+    return mix((sums[end] - sums[begin]) * undo[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
 
-def _around(lines: list[bytes], a: int, b: int) -> tuple[bytes, bytes]:
-    """128-bit hashes of the lines before (nearest first) and behind a run."""
-    digest = xxhash.xxh3_128_digest
-    return b"".join(map(digest, lines[max(0, a - CONTEXT) : a][::-1])), b"".join(map(digest, lines[b : b + CONTEXT]))
-
-
-def _common(x: bytes, y: bytes) -> int:
-    """How many hashes two runs of them begin with alike."""
-    n = min(len(x), len(y)) // 16
-    return next((k for k in range(n) if x[16 * k : 16 * k + 16] != y[16 * k : 16 * k + 16]), n)
+def _lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -68,77 +64,82 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode("utf-8", "surrogatepass")
 
 
-def _key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(text, F.coalesce(doc_id.cast("bigint"), F.lit(-1)), doc_id.isNull())
+def _key(doc_id: Column, text_hash: Column) -> Column:
+    """Only to leave rows out of a shuffle; joins are by doc_id and the text's hash."""
+    return F.xxhash64(text_hash, F.coalesce(doc_id.cast("bigint"), F.lit(-1)), doc_id.isNull())
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, drop: array<struct<begin, end>>): ranges of lines to remove from the rows (doc_id, text) of that key (``_key``).
+    """(doc_id, text_hash, drop: array<struct<begin, end>>): ranges of lines to remove from those rows (doc_id, text).
 
-    Of all runs, hashes are counted first, with the smallest place of each; only runs whose hash is there twice are
-    kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared, byte by
-    byte, with the run at the smallest place, its model, and removed if equal: a run that only shares a hash stays.
-    With it go lines next to it, up to CONTEXT on either side, as far as they equal those next to the model (by 128-bit
-    hashes). Places are ordered by doc_id (null last), key and line.
+    The rolling hashes of all runs are counted first, with the smallest place of each; only runs whose hash is there
+    twice are kept as bytes (a filter of fixed size leaves out most others before the shuffle). Each is then compared,
+    byte by byte, with the run at the smallest place, its model, and removed if equal: a run that only shares a hash
+    stays. Places are ordered by doc_id (null last), text hash and line.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", _key(F.col("doc_id"), F.col("text")))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def expanded(known: KeyFilter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in tidy(batches):
                 for at in range(0, whole.num_rows, AT_ONCE):
                     batch = whole.slice(at, AT_ONCE)
-                    each = [(i, a, b, lines) for i, t in enumerate(batch.column("text").to_pylist()) for a, b, lines in _parts(t)]
-                    h = np.array([xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) for _, a, b, lines in each], np.uint64).view(np.int64)
-                    if known:
-                        there = np.flatnonzero(known.hits(h)).tolist()
-                        h, each = h[there], [each[k] for k in there]
-                    i = pa.array([e[0] for e in each], pa.int64())
-                    cols = {"doc_id": batch.column("doc_id").take(i), "key": batch.column("key").take(i), "begin": pa.array([e[1] for e in each], pa.int32()), "h": h}
+                    of, begins, ends, hashes, body = [], [], [], [], []
+                    for i, t in enumerate(batch.column("text")):
+                        lines = _lines(t.as_py())
+                        begin, end = runs(lines)
+                        if not len(begin):
+                            continue
+                        h = rolling(lines, begin, end)
+                        if known:
+                            there = known.hits(h)
+                            begin, end, h = begin[there], end[there], h[there]
+                            body += [b"\n".join(lines[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                        of.append(np.full(len(begin), i))
+                        begins.append(begin)
+                        ends.append(end)
+                        hashes.append(h)
+                    if not of:
+                        continue
+                    i = pa.array(np.concatenate(of))
+                    cols = {"doc_id": batch.column("doc_id").take(i), "text_hash": batch.column("text_hash").take(i), "begin": pa.array(np.concatenate(begins), pa.int32()), "h": np.concatenate(hashes)}
                     if known:
-                        around = [_around(lines, a, b) for _, a, b, lines in each]
-                        cols |= {"end": pa.array([e[2] for e in each], pa.int32()), "bytes": pa.array([b"\n".join(lines[a:b]) for _, a, b, lines in each], pa.binary()), "before": pa.array([x for x, _ in around], pa.binary()), "behind": pa.array([x for _, x in around], pa.binary())}
+                        cols |= {"end": pa.array(np.concatenate(ends), pa.int32()), "bytes": pa.array(body, pa.binary())}
                     yield pa.RecordBatch.from_pydict(cols)
 
-        return rows.mapInArrow(run, "doc_id long, key long, begin int, h long" + ", end int, bytes binary, before binary, behind binary" * bool(known))
+        return rows.mapInArrow(run, "doc_id long, text_hash long, begin int, h long" + ", end int, bytes binary" * bool(known))
 
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "begin")
     # Aggregated before the shuffle: a run in a third of all documents is one row of each task.
     counted = expanded(None).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     twice = written(counted.filter("n > 1").select("h", "first"), "runs")
-    is_first = (F.col("first.key") == F.col("key")) & (F.col("first.begin") == F.col("begin"))
-    found = expanded(KeyFilter(twice, "h")).join(twice, "h").withColumn("is_first", is_first).drop("first", "doc_id")
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.begin") == F.col("begin"))
+    found = expanded(KeyFilter(twice, "h")).join(twice, "h").withColumn("is_first", is_first).drop("first")
     found = written(found, "repeated")
-    models = found.filter("is_first").select("h", F.col("bytes").alias("model"), F.col("before").alias("model_before"), F.col("behind").alias("model_behind")).dropDuplicates(["h"])
+    models = found.filter("is_first").select("h", F.col("bytes").alias("model")).dropDuplicates(["h"])
     equal = found.filter("not is_first").join(models, "h").filter(F.col("bytes") == F.col("model"))
-
-    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tidy(batches):
-            c = {n: batch.column(n).to_pylist() for n in ("before", "model_before", "behind", "model_behind")}
-            up = np.array(list(map(_common, c["before"], c["model_before"])), np.int32)
-            down = np.array(list(map(_common, c["behind"], c["model_behind"])), np.int32)
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "begin": batch.column("begin").to_numpy() - up, "end": batch.column("end").to_numpy() + down})
-
-    ranges = equal.select("key", "begin", "end", "before", "model_before", "behind", "model_behind").mapInArrow(widened, "key long, begin int, end int")
     # At most as many ranges as a document has runs.
-    return ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("drop"))
+    return equal.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("drop"))
 
 
 def deduplicated(docs: DataFrame, dropped: str | None = None) -> DataFrame:
     """docs with repeated runs of lines removed from ``text``, but for the first of each.
 
     Equal rows share their runs' places and so keep or lose the same. A null text stays null; a text of which all is
-    removed becomes empty; texts without repeats stay as they are, byte for byte. All other columns stay as they are,
-    and with ``dropped`` a column of that name has the removed ranges of lines (array<struct<begin, end>>; they may
-    overlap). An empty table gives no rows.
+    removed becomes empty; texts without repeats stay as they are, byte for byte. Blank lines next to what is removed
+    stay. All other columns stay as they are, and with ``dropped`` a column of that name has the removed ranges of lines
+    (array<struct<begin, end>>; they may overlap). An empty table gives no rows.
     """
-    key, drop = free_name("key", docs.columns), dropped or free_name("drop", docs.columns)
-    gone = written(repeats(docs).select(F.col("key").alias(key), F.col("drop").alias(drop)), "drops")
+    taken = [*docs.columns, *([dropped] if dropped else [])]
+    own_id, own_hash, drop = free_name("own_id", taken), free_name("own_hash", taken), dropped or free_name("drop", taken)
+    gone = repeats(docs).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("drop").alias(drop))
+    gone = written(gone.withColumn("key", _key(F.col(own_id), F.col(own_hash))), "drops")
     text = F.col("text").cast("string")
-    touched, rest = parted(docs.withColumn("text", text), _key(F.col("doc_id"), text), gone, key)
-    joined = touched.withColumn(key, _key(F.col("doc_id"), F.col("text"))).join(gone, key, "left").drop(key)
+    touched, rest = parted(docs.withColumn("text", text), _key(F.col("doc_id"), F.xxhash64(text)), gone, "key")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash))
+    joined = touched.join(gone.drop("key"), same, "left").drop(own_id, own_hash)
     schema = joined.schema
     names = joined.columns
 

@@ -55,9 +55,10 @@ def test_runs():
     rng = random.Random(6)
     for _ in range(300):
         own = [b" ".join([b"w"] * rng.choice((0, 1, 2, 7, 12, 41))) for _ in range(rng.randrange(9))]
-        for a, b in lines.runs(own):
+        own_runs = list(zip(*(x.tolist() for x in lines.runs(own)), strict=True))
+        for a, b in own_runs:
             assert b - a == 1 and len(own[a].split()) >= lines.LONG_LINE or b - a >= lines.LEAST_LINES and sum(len(x.split()) for x in own[a:b]) >= lines.LEAST_WORDS
         for a, b in itertools.combinations(range(len(own) + 1), 2):
             if b - a >= lines.LEAST_LINES and sum(len(x.split()) for x in own[a:b]) >= lines.LEAST_WORDS:
-                covered = {k for c, d in lines.runs(own) if a <= c and d <= b for k in range(c, d)}
+                covered = {k for c, d in own_runs if a <= c and d <= b for k in range(c, d)}
                 assert {k for k in range(a, b) if own[k]} <= covered
