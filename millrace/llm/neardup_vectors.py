@@ -14,35 +14,54 @@ from millrace.llm.common import connected_components, group_bounds, local_compon
 from millrace.llm.ngrams import mix
 from millrace.llm.vectors import matrix, usable
 
-#: Tables, projections in each, and width of a bucket in units of the distance at the least cosine: a pair at just the
-#: least cosine shares no bucket with a probability of 2e-5, closer pairs with less.
-TABLES, PROJECTIONS, WIDTH = 16, 6, 7.0
+#: Width of a bucket in units of the distance at the least cosine.
+WIDTH = 7.0
+#: A pair at just the least cosine shares no bucket with at most this probability, closer pairs with less.
+MISSED = 1e-4
+#: Unrelated vectors (at right angles) that a bucket holds on average, at most.
+CROWD = 16
 #: Vectors of a bucket that a task compares at once; larger buckets are compared part by part.
 CHUNK = 4000
 
 
+def meeting(distance: float) -> float:
+    """Probability that two vectors share a cell of one projection; distance: in units of the width of a cell."""
+    t = 1 / distance
+    return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
+
+
+def tables_for(n: int, cosine: float) -> tuple[int, int]:
+    """(tables, projections in each) for n vectors: projections until unrelated ones rarely meet, tables until pairs do."""
+    near = math.sqrt(max(2 - 2 * cosine, 1e-6))
+    apart = meeting(math.sqrt(2) / (WIDTH * near))
+    projections = max(4, math.ceil(math.log(max(n, 1) / CROWD) / -math.log(apart))) if n > CROWD else 4
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - meeting(1 / WIDTH) ** projections))), projections
+
+
 class Hashes:
     """Quantised random projections floor((a . v + b) / w), some of them joined to the bucket of each table."""
 
-    def __init__(self, dim: int, cosine: float, seed: int):
+    def __init__(self, dim: int, cosine: float, tables: int, projections: int, seed: int):
         rng = np.random.default_rng([seed, dim])
+        self.tables, self.projections = tables, projections
         self.width = WIDTH * math.sqrt(max(2 - 2 * cosine, 1e-6))
-        self.directions = rng.standard_normal((dim, TABLES * PROJECTIONS))
-        self.offsets = rng.uniform(0, self.width, TABLES * PROJECTIONS)
+        self.directions = rng.standard_normal((dim, tables * projections))
+        self.offsets = rng.uniform(0, self.width, tables * projections)
 
     def __call__(self, unit: np.ndarray) -> np.ndarray:
         """int64 bucket of each row in each table."""
-        cell = np.floor((unit @ self.directions + self.offsets) / self.width).astype(np.int64).reshape(len(unit), TABLES, PROJECTIONS)
+        cell = np.floor((unit @ self.directions + self.offsets) / self.width).astype(np.int64).reshape(len(unit), self.tables, self.projections)
         h = np.zeros(cell.shape[:2], np.uint64)
-        for k in range(PROJECTIONS):
+        for k in range(self.projections):
             h = mix(h + cell[:, :, k].astype(np.uint64))
         return h.view(np.int64)
 
 
-def compare(vectors: np.ndarray, weight: np.ndarray, codes: np.ndarray, table: int, cosine: float, part_a: int, part_b: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def compare(vectors: np.ndarray, weight: np.ndarray, codes_of, table: int, cosine: float, part_a: int, part_b: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of other vectors linked to each row, smallest row of its component) in one bucket.
 
-    Cosines are exact, in double precision. A pair counts in the first table in which it shares a bucket. Where the
+    Cosines are exact, in double precision. A pair counts in the first table in which it shares a bucket (codes_of gives
+    the buckets of vectors). Where the
     bucket is split (part_a < part_b), only pairs of different parts are compared.
     """
     n = len(vectors)
@@ -63,11 +82,14 @@ def compare(vectors: np.ndarray, weight: np.ndarray, codes: np.ndarray, table: i
             a, b = a[exact], b[exact]
             found_i.append(a)
             found_j.append(b)
-            new = ~(codes[a, :table] == codes[b, :table]).any(axis=1)
-            np.add.at(linked, a[new], weight[b[new]])
-            np.add.at(linked, b[new], weight[a[new]])
-    if not found_i:
+    if not sum(map(len, found_i)):
         return linked, np.arange(n)
+    some = np.unique(np.concatenate([*found_i, *found_j]))
+    codes = codes_of(vectors[some])[:, :table]
+    for i, j in zip(found_i, found_j, strict=True):
+        new = ~(codes[np.searchsorted(some, i)] == codes[np.searchsorted(some, j)]).any(axis=1)
+        np.add.at(linked, i[new], weight[j[new]])
+        np.add.at(linked, j[new], weight[i[new]])
     return linked, local_components(n, np.concatenate(found_i), np.concatenate(found_j))
 
 
@@ -84,23 +106,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, by: str = "label",
     spark = vectors.sparkSession
     own = F.col(by)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), own.cast("string").alias("g"))
-    # A stable hash of group and vector stands for the pair; -0.0 counts as 0.0.
+    # -0.0 counts as 0.0. A vector of one group has a number of its own once written: ids, null or repeated, name a
+    # component at the end only.
     parts = F.when(usable("v") & F.col("g").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0)))
     rows = written(rows.select("vec_id", "g", parts.alias("v")), "vectors")
     ok = rows.filter("v is not null")
-    distinct = written(ok.groupBy("g", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("g", "v")), "distinct")
+    distinct = ok.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = written(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct")
+    largest = distinct.groupBy("g", F.size("v")).count().agg(F.max("count")).first()[0] or 0
+    tables, projections = tables_for(largest, cosine)
 
     hashes: dict[int, Hashes] = {}
 
     def codes_of(v: np.ndarray) -> np.ndarray:
         if v.shape[1] not in hashes:
-            hashes[v.shape[1]] = Hashes(v.shape[1], cosine, seed)
+            hashes[v.shape[1]] = Hashes(v.shape[1], cosine, tables, projections, seed)
         return hashes[v.shape[1]](v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None])
 
     def bucketed(batch: pa.RecordBatch) -> dict:
         column = batch.column("v")
         sizes = np.asarray(column.value_lengths())
-        codes = np.zeros((batch.num_rows, TABLES), np.int64)
+        codes = np.zeros((batch.num_rows, tables), np.int64)
         for size in np.unique(sizes):
             mine = np.flatnonzero(sizes == size)
             codes[mine] = codes_of(matrix(column.take(pa.array(mine))))
@@ -113,27 +139,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, by: str = "label",
     crowded = shared.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("rows_")).filter("rows_ > 1").select("t", "bucket")
     dealt = split_hot(shared.join(crowded, ["t", "bucket"]).select("key", "t", "bucket"), ["t", "bucket"], chunk, "key")
     groups = ["t", "bucket", "part_a", "part_b"]
-    parts_of = dealt.join(distinct.select("key", "node", "n", "v"), "key")
+    parts_of = dealt.join(distinct.select("key", "n", "v"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, groups):
             keys = [rows.column(k).to_numpy() for k in groups]
             bounds = group_bounds(keys)
-            node, n, row = (rows.column(k).to_numpy() for k in ("node", "n", "key"))
+            n, row = (rows.column(k).to_numpy() for k in ("n", "key"))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a < 2:
                     continue
                 v = matrix(rows.column("v").slice(int(a), int(b - a)))
                 pa_, pb = int(keys[2][a]), int(keys[3][a])
-                linked, root = compare(v, n[a:b], codes_of(v), int(keys[0][a]), cosine, pa_, pb, rows.column("mine").to_numpy()[a:b])
+                linked, root = compare(v, n[a:b], codes_of, int(keys[0][a]), cosine, pa_, pb, rows.column("mine").to_numpy()[a:b])
                 some = np.flatnonzero((linked > 0) | (root != np.arange(b - a)))
-                yield pa.RecordBatch.from_pydict({"key": row[a:b][some], "links": linked[some], "node": node[a:b][some], "to": node[a:b][root[some]]})
+                yield pa.RecordBatch.from_pydict({"key": row[a:b][some], "links": linked[some], "to": row[a:b][root[some]]})
 
-    out = parts_of.select("key", "node", "n", "v", *groups, "mine").repartition(shuffle_partitions(spark), *groups).sortWithinPartitions(*groups)
-    found = written(out.mapInArrow(run, "key long, links long, node long, to long"), "found")
+    out = parts_of.select("key", "n", "v", *groups, "mine").repartition(shuffle_partitions(spark), *groups).sortWithinPartitions(*groups)
+    found = written(out.mapInArrow(run, "key long, links long, to long"), "found")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    component = connected_components(found.filter("node is not null and to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    named = distinct.join(counts, "key", "left").join(component, "node", "left").select("g", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    component = connected_components(found.select(F.col("key").alias("a"), F.col("to").alias("b")))
+    rooted = distinct.join(counts, "key", "left").join(component, distinct["key"] == component["node"], "left").select("g", "v", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", distinct["key"]).alias("root"))
+    rooted = written(rooted, "rooted")
+    named = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     linked = ok.join(named, ["g", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -63,10 +63,9 @@ def verified(sets: list[np.ndarray], part: np.ndarray, least: float) -> list[tup
             open_ &= part != part[i]
         # a set of another size by more than the least similarity can't be as similar
         open_ &= (size >= least * size[i]) & (size * least <= size[i]) & (size > 0)
-        for at in range(0, n, 64):
-            j = at + np.flatnonzero(open_[at : at + 64])
-            if not len(j):
-                continue
+        open_at = np.flatnonzero(open_)
+        for at in range(0, len(open_at), 64):
+            j = open_at[at : at + 64]
             values = np.concatenate([flat[start[x] : start[x + 1]] for x in j])
             place = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
             both = np.add.reduceat((sets[i][place] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
@@ -103,9 +102,9 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, least: float) -> D
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": as_long(fps), "set_hash": as_long(sets), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
     signs = written(rows.mapInArrow(signed, "doc_id long, text_hash long, fp long, set_hash long, bands array<long>"), "signs")
-    # A node is a set, named by its smallest doc_id.
-    named = signs.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("text_hash", "fp", "bands"), "doc_id").alias("s"))
-    nodes = written(named.filter("node is not null").select("set_hash", "node", "s.*"), "nodes")
+    # A node is a set (with its fingerprint, in case two sets share a hash) and has a number of its own once written.
+    of_set = signs.groupBy("set_hash", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"))
+    nodes = written(of_set.select(F.monotonically_increasing_id().alias("node"), "set_hash", "fp", "least", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "bands"), "nodes")
     met = nodes.select("node", F.explode("bands").alias("key"))
     hubs = written(met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("key", "hub"), "hubs")
     candidates = met.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -113,8 +112,8 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, least: float) -> D
     groups = written(connected_components(candidates), "candidates")
 
     # The sets of the groups, each from its node's own row.
-    place = F.xxhash64("doc_id", "text_hash")
-    wanted = written(nodes.join(groups, "node").select("node", "component", F.xxhash64("node", "text_hash").alias("place")), "wanted")
+    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_hash")
+    wanted = written(nodes.join(groups, "node").select("node", "component", "doc_id", "text_hash", place.alias("place")), "wanted")
     known = KeyFilter(wanted, "place")
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +122,10 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, least: float) -> D
             for at in range(0, len(there), 100):
                 k = pa.array(there[at : at + 100])
                 sets = [shingles(t, words).tobytes() for t in batch.column("text").take(k).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"place": batch.column("place").take(k), "own": pa.array(sets, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").take(k), "hash": batch.column("text_hash").take(k), "own": pa.array(sets, pa.binary())})
 
-    sets = rows.filter("doc_id is not null").select("text", place.alias("place")).mapInArrow(expanded, "place long, own binary").join(wanted, "place")
+    sets = rows.select("doc_id", "text_hash", "text", place.alias("place")).mapInArrow(expanded, "id long, hash long, own binary")
+    sets = sets.join(wanted, sets["id"].eqNullSafe(wanted["doc_id"]) & (sets["hash"] == wanted["text_hash"])).dropDuplicates(["node"])
     dealt = split_hot(written(sets.select("node", "component", "own"), "sets"), ["component"], CHUNK, "node")
     keys = ["component", "part_a", "part_b"]
 
@@ -141,5 +141,6 @@ def near_duplicates(docs: DataFrame, words: int, radius: int, least: float) -> D
 
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
     found = connected_components(dealt.select("node", "own", "mine", *keys).mapInArrow(compared, "a long, b long"))
-    of_set = named.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
-    return signs.select("doc_id", "text_hash", "set_hash").join(of_set, "set_hash").select("doc_id", "text_hash", "component_id")
+    rooted = written(nodes.join(found, "node", "left").select("set_hash", "fp", "least", F.coalesce("component", "node").alias("root")), "rooted")
+    named = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
+    return signs.select("doc_id", "text_hash", "set_hash", "fp").join(named, ["set_hash", "fp"]).select("doc_id", "text_hash", "component_id")

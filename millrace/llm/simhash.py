@@ -173,15 +173,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFra
     """(doc_id, text_hash, fp, component_id) for every row of docs (doc_id, text): the smallest doc_id reachable over links.
 
     Documents link if their fingerprints differ in at most radius bits. Null, empty and blank texts have fingerprint 0
-    and link like any other. Repeated rows stay repeated; a null doc_id gets a component like any other row but never
-    names one unless it is alone (then it is null). Other columns are ignored. An empty table gives no rows.
+    and link like any other. Repeated rows stay repeated; a row of null doc_id links like any other but names no
+    component unless all of its rows lack an id (then it is null). Other columns are ignored. An empty table gives no
+    rows.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
-    # A node is a fingerprint, named by its smallest doc_id: unique, as a document has one fingerprint. Where ids are
-    # repeated with other texts, two fingerprints may share a name, and so a component.
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    found = connected_components(links(distinct.filter("node is not null"), radius))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # A node is a fingerprint and stands for itself: ids, null or repeated, name a component at the end only.
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = connected_components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = written(rooted, "rooted")
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
