@@ -22,6 +22,29 @@ class AffectedRows:
     count: int
 
 
+class _Frames(dict):
+    """Registered DataFrames by name; those of paths are opened, as views too, when first asked for."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.spark, self.paths = spark, {}
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or name in self.paths
+
+    def __iter__(self) -> Iterator[str]:
+        return iter({*super().__iter__(), *self.paths})
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(self.paths.pop(name))
+        df.createOrReplaceTempView(name)
+        self[name] = df
+        return df
+
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in self else default
+
+
 class Engine:
     """Tables of a folder (root; a temporary one if None) and registered DataFrames, queried by SQL.
 
@@ -41,7 +64,7 @@ class Engine:
         self.views: dict[str, str] = {}
         self.indexes: dict[str, tuple[str, list[str]]] = {}
         self.stats: dict[str, list[Row]] = {}
-        self.frames: dict[str, DataFrame] = {}
+        self.frames = _Frames(spark)
         self._saved: tuple | None = None
         for name in self.tables:
             self._show(name)
@@ -54,7 +77,7 @@ class Engine:
             fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
             names = tuple(s.getPath().getName()[: -len(".parquet")] for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet"))
         for name in names:
-            self.register_frame(f"{alias}__{name}" if alias else name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.frames.paths[(f"{alias}__{name}" if alias else name).lower()] = f"{folder}/{name}.parquet"
         return self
 
     def register_frame(self, name: str, df: DataFrame) -> None:
@@ -81,25 +104,46 @@ class Engine:
             return self.query(self.views[name])
         raise SqlError(f"table {name} does not exist", NO_TABLE)
 
-    def _types(self, flat: list[Token]) -> dict[str, str]:
-        """Column types of the tables that a statement names; a name of two types is left out."""
-        out: dict[str, str] = {}
-        for word in {t.text.strip('"`').lower() for t in flat if t.kind in ("word", "quoted")}:
-            struct = self.tables[word].struct if word in self.tables else self.frames[word].schema if word in self.frames else None
-            for f in struct or []:
-                kind = f.dataType.simpleString()
-                out[f.name.lower()] = kind if out.get(f.name.lower(), kind) == kind else ""
-        return out
+    def _types(self, name: str) -> dict[str, str] | None:
+        """Column types of a table, registered frame or view."""
+        if name in self.tables:
+            struct = self.tables[name].struct
+        elif name in self.frames:
+            struct = self.frames[name].schema
+        elif name in self.views:
+            struct = self.spark.table(name).schema
+        else:
+            return None
+        return _kinds(struct)
+
+    def _rewriter(self, types: dict[str, str] | None = None, args: list | None = None) -> Rewriter:
+        def describe(text: str) -> dict[str, str]:
+            try:
+                return _kinds(self._run(text, args).schema)  # analysis alone: nothing runs
+            except Exception:  # noqa: BLE001
+                return {}  # the whole statement's own error says it better
 
-    def _spark_text(self, sql: str) -> str:
+        return Rewriter(types, self._types, describe)
+
+    def _run(self, text: str, args: list | None) -> DataFrame:
+        for k in range(len(args or [])):
+            text = text.replace(f"p_{k}_parameter", f":p{k}")
+        return self.spark.sql(text, args={f"p{k}": a for k, a in enumerate(args)}) if args else self.spark.sql(text)
+
+    def _spark_text(self, sql: str, args: list | None = None) -> str:
         flat = tokens(sql)
+        for t in flat:
+            if t.kind in ("word", "quoted"):
+                self.frames.get(t.text.strip('"`').lower())  # a registered table is opened when it is named
         for alias in {n.split("__")[0] for n in self.frames if "__" in n}:
             k = 0
             while k + 2 < len(flat):
                 if flat[k].low == alias and flat[k].kind == "word" and flat[k + 1].low == "." and (k == 0 or flat[k - 1].low != "."):
                     flat[k : k + 3] = [Token("word", f"{alias}__{flat[k + 2].text.lower()}")]
                 k += 1
-        return Rewriter(self._types(flat)).text(nested(flat))
+        # Parameters that are numbers divide as numbers do; other types are left to Spark.
+        given = {f"p_{k}_parameter": "bigint" if isinstance(a, int) else "double" for k, a in enumerate(args or []) if isinstance(a, (int, float)) and not isinstance(a, bool)}
+        return self._rewriter(given, args).text(nested(flat))
 
     def query(self, sql: str, args: list | None = None) -> DataFrame:
         """A SELECT."""
@@ -108,10 +152,7 @@ class Engine:
             raise SqlError(f"{wanted} parameters are needed, {given} are given", SYNTAX)
         marked = _numbered(sql) if args else sql
         try:
-            text = self._spark_text(marked)
-            for k in range(given):
-                text = text.replace(f"p_{k}_parameter", f":p{k}")
-            return self.spark.sql(text, args={f"p{k}": a for k, a in enumerate(args)}) if args else self.spark.sql(text)
+            return self._run(self._spark_text(marked, args), args)
         except SqlError:
             raise
         except Exception as e:
@@ -514,7 +555,7 @@ class Engine:
         meta = self._own(name)
         where = next((i for i, t in enumerate(items) if t.low == "where"), len(items))
         types = {f.name: f.dataType.simpleString() for f in meta.struct}
-        write = Rewriter(types)
+        write = self._rewriter(types)
         cond = F.coalesce(F.expr(write.text(items[where + 1 :])), F.lit(False)) if where < len(items) else F.lit(True)
         sets = {}
         for part in split_commas(items[3:where]):
@@ -542,7 +583,7 @@ class Engine:
             count = old.count()
             meta.parts = []
         else:
-            condition = F.coalesce(F.expr(Rewriter({f.name: f.dataType.simpleString() for f in meta.struct}).text(items[where + 1 :])), F.lit(False))
+            condition = F.coalesce(F.expr(self._rewriter(_kinds(meta.struct)).text(items[where + 1 :])), F.lit(False))
             count = old.filter(condition).count()
             if count:
                 meta.parts = [self.store.write(name, old.filter(~condition))]
@@ -568,6 +609,10 @@ class Engine:
         return create_table(name, self._own(name.lower()))
 
 
+def _kinds(struct: StructType) -> dict[str, str]:
+    return {f.name.lower(): f.dataType.simpleString() for f in struct}
+
+
 def _flat_sql(flat: list[Token]) -> str:
     return " ".join(t.text for t in flat)
 

@@ -7,6 +7,7 @@ planning. Types of operands come from the columns of the tables in reach (``type
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from millrace.errors import SYNTAX, UNSUPPORTED, SqlError
@@ -15,6 +16,7 @@ _TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|''
 
 #: Words that end an ORDER BY item or an operand.
 _CLAUSES = {"limit", "offset", "fetch", "union", "intersect", "except", "from", "where", "group", "having", "order", "on", "join", "inner", "left", "right", "full", "cross", "rows", "range", "and", "or", "then", "when", "else", "end", "as", "asc", "desc", "nulls", "between", "in", "like", "is", "not", "select", "distinct", "set", "values", "by", "using", "case", "all"}
+_JOINS = {"join", "inner", "left", "right", "full", "outer", "cross", "natural", "on", "using", "semi", "anti"}
 _INTEGER = {"bigint", "int", "smallint", "tinyint", "integer", "long"}
 _FLOAT = {"double", "float"}
 #: Result families of functions.
@@ -37,6 +39,7 @@ class Group:
     items: list = field(default_factory=list)
     kind: str = "group"
     low: str = "("
+    done: str | None = None  # its text, if written already
 
 
 def tokens(sql: str) -> list[Token]:
@@ -88,6 +91,10 @@ def split_commas(items: list) -> list[list]:
     return out if out != [[]] else []
 
 
+def _plain(name: str) -> str:
+    return name.strip('"`').lower()
+
+
 def string_value(text: str) -> str:
     return text[1:-1].replace("''", "'")
 
@@ -97,9 +104,28 @@ def literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+class _Scope:
+    """What one SELECT can name: tables by alias, their column types looked up when asked for, and its own aliases."""
+
+    def __init__(self):
+        self.tables: dict[str, Callable[[], dict[str, str]]] = {}
+        self.items: dict[str, list] = {}
+        self._known: dict[str, dict[str, str]] = {}
+
+    def columns(self, alias: str) -> dict[str, str]:
+        if alias not in self._known:
+            self._known[alias] = self.tables[alias]()
+        return self._known[alias]
+
+
 class Rewriter:
-    def __init__(self, types: dict[str, str] | None = None):
-        self.types = types or {}
+    """types: column types that hold everywhere (lower-case name to Spark type). tables: column types of a table by name,
+    None if there is none. describe: column types of a query in Spark's SQL."""
+
+    def __init__(self, types: dict[str, str] | None = None, tables: Callable[[str], dict[str, str] | None] | None = None, describe: Callable[[str], dict[str, str]] | None = None):
+        self.types, self.tables, self.describe = types or {}, tables or (lambda _: None), describe or (lambda _: {})
+        self.scopes: list[_Scope] = []
+        self.ctes: dict[str, str] = {}
 
     def __call__(self, sql: str) -> str:
         return self.text(nested(tokens(sql)))
@@ -129,7 +155,7 @@ class Rewriter:
                 return t.family
             if isinstance(t, Group):
                 if t.items and t.items[0].low == "select":
-                    return None
+                    return self._first_family(t.items)
                 return self.family(t.items)
             if t.kind == "number":
                 return "float" if re.search(r"[.eE]", t.text) else "int"
@@ -141,7 +167,7 @@ class Rewriter:
         if items[0].low in ("date", "timestamp", "timestamp_ntz") and items[1].kind == "string":
             return "date" if items[0].low == "date" else "timestamp"
         if len(items) == 3 and items[1].low == "." and items[2].kind in ("word", "quoted"):
-            return self._column(items[2].text)
+            return self._column(items[2].text, items[0].text)
         if len(items) == 2 and items[0].kind == "word" and isinstance(items[1], Group):
             name, args = items[0].low, items[1].items
             if name == "cast":
@@ -157,8 +183,133 @@ class Rewriter:
             return "float" if "float" in results else "int" if results and set(results) == {"int"} else None
         return None
 
-    def _column(self, name: str) -> str | None:
-        return self._family_of_type(self.types.get(name.strip('"`').lower(), ""))
+    def _column(self, name: str, alias: str | None = None) -> str | None:
+        name, alias = _plain(name), _plain(alias) if alias else None
+        for scope in reversed(self.scopes):
+            if alias:
+                if alias in scope.tables:
+                    return self._family_of_type(scope.columns(alias).get(name, ""))
+                continue
+            kinds = {c[name] for c in map(scope.columns, scope.tables) if name in c}
+            if kinds:
+                return self._family_of_type(kinds.pop()) if len(kinds) == 1 else None
+            if name in scope.items:
+                return self.family(scope.items[name])
+        return self._family_of_type(self.types.get(name, ""))
+
+    def _first_family(self, select: list) -> str | None:
+        """The family of a scalar subquery's value."""
+        self.scopes.append(self._scope(select))
+        try:
+            stop = next((i for i, t in enumerate(select) if t.kind == "word" and t.low == "from"), len(select))
+            first = [t for t in split_commas(select[1:stop])[0] if not (t.kind == "word" and t.low == "distinct")]
+            cut = next((i for i, t in enumerate(first) if t.kind == "word" and t.low == "as"), len(first))
+            return self.family(first[:cut])
+        finally:
+            self.scopes.pop()
+
+    # -- scopes --------------------------------------------------------------------------------------------------------
+    def _derived(self, inner: Group) -> dict[str, str]:
+        if inner.done is None:
+            inner.done = self.text(inner.items)
+        head = "with " + ", ".join(self.ctes.values()) + " " if self.ctes else ""
+        return self.describe(head + inner.done)
+
+    def _scope(self, select: list) -> _Scope:
+        """The tables of the FROM clause of one SELECT."""
+        scope = _Scope()
+        begin = next((i for i, t in enumerate(select) if t.kind == "word" and t.low == "from"), len(select))
+        for item in split_commas(select[1:begin]):
+            if len(item) > 2 and item[-2].kind == "word" and item[-2].low == "as":
+                scope.items[_plain(item[-1].text)] = item[:-2]
+        end = next((i for i in range(begin, len(select)) if select[i].kind == "word" and select[i].low in ("where", "group", "having", "order", "limit", "offset", "fetch")), len(select))
+        self._tables(select[begin + 1 : end], scope)
+        return scope
+
+    def _tables(self, items: list, scope: _Scope) -> None:
+        k, wanted = 0, True
+        while k < len(items):
+            t = items[k]
+            if t.low == "," or t.kind == "word" and t.low == "join":
+                wanted = True
+            elif wanted and not (t.kind == "word" and t.low in _JOINS):
+                wanted = False
+                name = _plain(t.text) if not isinstance(t, Group) else None
+                source = t
+                k += 1
+                if k + 1 < len(items) and items[k].low == "." and items[k].kind == "op":
+                    k += 2
+                if k < len(items) and items[k].kind == "word" and items[k].low == "as":
+                    k += 1
+                alias, names = name, None
+                if k < len(items) and items[k].kind in ("word", "quoted") and (items[k].kind == "quoted" or items[k].low not in _JOINS and items[k].low not in _CLAUSES):
+                    alias = _plain(items[k].text)
+                    if k + 1 < len(items) and isinstance(items[k + 1], Group):
+                        names, k = [_plain(c[0].text) for c in split_commas(items[k + 1].items)], k + 1
+                    k += 1
+                if isinstance(source, Group) and source.items and source.items[0].low not in ("select", "with", "values") and not isinstance(source.items[0], Group):
+                    self._tables(source.items, scope)  # joins in parentheses
+                else:
+                    scope.tables[alias or f"({len(scope.tables)}"] = self._source(source, names)
+                continue
+            k += 1
+
+    def _source(self, source: Token | Group, names: list[str] | None) -> Callable[[], dict[str, str]]:
+        def found() -> dict[str, str]:
+            if isinstance(source, Group):
+                types = self._derived(source)
+            elif _plain(source.text) in self.ctes:
+                types = self.describe(f"with {', '.join(self.ctes.values())} select * from {_plain(source.text)}")
+            else:
+                types = self.tables(_plain(source.text)) or {}
+            return dict(zip(names, types.values(), strict=False)) if names else types
+
+        return found
+
+    def _selects(self, items: list) -> str:
+        """A query: its CTEs, then the SELECTs between set operations, each with its own scope."""
+        outer, out, k = dict(self.ctes), [], 0
+        if items[0].low == "with":
+            k = 1
+            while k < len(items):
+                recursive = items[k].kind == "word" and items[k].low == "recursive"
+                k += recursive
+                name, names = items[k], None
+                if isinstance(items[k + 1], Group):
+                    names, k = items[k + 1], k + 1
+                body = items[k + 2]
+                if items[k + 1].low != "as" or not isinstance(body, Group):
+                    raise SqlError("WITH needs name AS (SELECT ...)", SYNTAX)
+                head = self._clauses([name, *([names] if names else [])])
+                made = f"{head} as ({self.text(body.items)})"
+                self.ctes[_plain(name.text)] = made
+                out.append(("with recursive " if recursive else "with ") + made if len(out) == 0 else ", " + made)
+                k += 3
+                if k < len(items) and items[k].low == ",":
+                    k += 1
+                    continue
+                break
+            out = ["".join(out)]
+        core: list = []
+
+        def flush() -> None:
+            if core:
+                self.scopes.append(self._scope(core) if core[0].low == "select" else _Scope())
+                out.append(self._clauses(core))
+                self.scopes.pop()
+                core.clear()
+
+        for t in items[k:]:
+            if t.kind == "word" and t.low in ("union", "intersect", "except"):
+                flush()
+                out.append(t.low)
+            elif not core and t.kind == "word" and t.low in ("all", "distinct"):
+                out.append(t.low)
+            else:
+                core.append(t)
+        flush()
+        self.ctes = outer
+        return " ".join(out)
 
     @staticmethod
     def _family_of_type(kind: str) -> str | None:
@@ -167,6 +318,9 @@ class Rewriter:
 
     # -- rewriting -----------------------------------------------------------------------------------------------------
     def text(self, items: list) -> str:
+        return self._selects(items) if items and any(t.kind == "word" and t.low in ("select", "with") for t in items) else self._clauses(items)
+
+    def _clauses(self, items: list) -> str:
         items = self._divisions(items)
         self._check(items)
         out: list[str] = []
@@ -176,7 +330,7 @@ class Rewriter:
             before = items[k - 1] if k else None
             after = items[k + 1] if k + 1 < len(items) else None
             if isinstance(t, Group):
-                out.append(f"({self.text(t.items)})")
+                out.append(f"({t.done or self.text(t.items)})")
             elif t.kind == "raw":
                 out.append(t.text)
             elif t.kind == "string":

@@ -44,7 +44,7 @@ _both(
 
 # -- scans -------------------------------------------------------------------------------------------------------------
 _both("s1_full_scan", "select * from nation")
-_both("s2_pushdown_scan", "select l_orderkey, l_extendedprice from lineitem where l_shipdate < timestamp '1994-01-01 00:00:00' and l_quantity > 45")
+_both("s2_pushdown_scan", "select l_orderkey, l_extendedprice from lineitem where l_shipdate < timestamp '1996-01-01 00:00:00' and l_quantity > 45")
 frame("s3_point_lookup", "select * from orders where o_orderkey = 33")(lambda e: R.lookup(e.table("orders"), "o_orderkey", 33))
 frame("s4_secondary_lookup", "select o_orderkey, o_custkey from orders where o_custkey = 7")(lambda e: R.lookup(e.table("orders"), "o_custkey", 7).select("o_orderkey", "o_custkey"))
 frame("s5_range_scan", "select o_orderkey, o_totalprice from orders where o_orderkey >= 100 and o_orderkey < 300")(lambda e: R.lookup_range(e.table("orders"), "o_orderkey", 100, 300, high_open=True).select("o_orderkey", "o_totalprice"))
@@ -112,6 +112,23 @@ _both("f6_like", "select c_custkey, c_name from customer where c_name like '%1_'
 _both("f7_is_null", "select event_id, nullif(event_type, 'click') is null as was_click from events where nullif(user_id, 1) is not null")
 _both("f8_constant", "select r_name from region where true")
 _both("e1_arith", "select l_orderkey, l_linenumber, l_linenumber / 2 as half, -l_linenumber / 4 as quarter, l_linenumber / (l_linenumber - 1) as q, round(l_extendedprice / l_quantity, 4) as unit from lineitem", "select l_orderkey, l_linenumber, (l_linenumber // 2)::bigint as half, (trunc(-l_linenumber / 4))::bigint as quarter, (case when l_linenumber = 1 then null else trunc(l_linenumber / (l_linenumber - 1)) end)::bigint as q, round(l_extendedprice / l_quantity, 4) as unit from lineitem")
+_both("e1_derived", "select d.k, d.n / 4 as q, d.n / (d.k + 1) as r, d.total / d.n as mean, (d.n + 1) / 2 + d.k / 2 as h from (select o_custkey as k, count(*) as n, sum(o_totalprice) as total from orders group by o_custkey) d where d.n / 2 > 1", "select d.k, d.n // 4 as q, d.n // (d.k + 1) as r, d.total / d.n as mean, (d.n + 1) // 2 + d.k // 2 as h from (select o_custkey as k, count(*) as n, sum(o_totalprice) as total from orders group by o_custkey) d where d.n // 2 > 1")
+_both("e1_cte", "with c as (select p_brand as b, count(*) as n, max(p_size) as s from part group by p_brand), d(b, half) as (select b, n / 2 from c) select c.b, c.n / 3 as third, c.s / 7 as week, d.half / 2 as quarter from c join d on c.b = d.b", "with c as (select p_brand as b, count(*) as n, max(p_size) as s from part group by p_brand), d(b, half) as (select b, n // 2 from c) select c.b, c.n // 3 as third, c.s // 7 as week, d.half // 2 as quarter from c join d on c.b = d.b")
+
+
+@frame("e1_view", "select n_regionkey as k, count(*) // 2 as half, max(n_nationkey) // 3 as third from nation group by n_regionkey")
+def _view_division(e: Engine) -> DataFrame:
+    e.sql("create view counted as select n_regionkey as k, count(*) as n, max(n_nationkey) as m from nation group by n_regionkey")
+    return e.sql("select k, n / 2 as half, counted.m / 3 as third from counted")
+
+
+@frame("e1_join", "select p_partkey as k, p_size // 3 as whole, p_retailprice / 3 as part from part")
+def _clashing_division(e: Engine) -> DataFrame:
+    e.register_frame("a", e.table("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("x")))
+    e.register_frame("b", e.table("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("x")))
+    return e.sql("select a.k as k, a.x / 3 as whole, b.x / 3 as part from a join b on a.k = b.k")
+
+
 _both("e2_interval", "select o_orderkey, cast(o_orderdate as date) + interval '1 month' as next_month, cast(o_orderdate as date) + interval '25 hours' as day_on, o_orderdate - interval '3 hours' as before from orders", "select o_orderkey, (o_orderdate::date + interval 1 month)::date as next_month, (o_orderdate::date + interval 25 hours)::date as day_on, o_orderdate - interval 3 hours as before from orders")
 _both("e3_case", "select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as class, case p_brand when 'Brand#11' then 1 when 'Brand#12' then 2 end as code from part", "select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as class, (case p_brand when 'Brand#11' then 1 when 'Brand#12' then 2 end)::bigint as code from part")
 _both("e4_coalesce", "select event_id, coalesce(nullif(event_type, 'view'), 'none') as kind from events")
@@ -135,9 +152,25 @@ _both("j7_self", "select a.n_name as a, b.n_name as b from nation a join nation
 _both("j8_chain", "select r_name, n_name, count(*) as n, round(sum(l_extendedprice), 2) as total from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey group by r_name, n_name")
 _both("j9_in", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 3000)")
 _both("j10_exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
-_both("j11_not_in", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 3000)")
-frame("j11_not_in_null", "select c_custkey from customer where c_custkey not in (select nullif(o_custkey, 1) from orders)")(lambda e: R.not_in(e.table("customer").select("c_custkey"), e.table("orders").select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k")), "c_custkey", "k"))
-_both("j12_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+_both("j11_not_in", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
+
+
+@frame(
+    "j11_not_in_null",
+    """select (select count(*) from customer where c_custkey not in (select nullif(o_custkey, 1) from orders)) as beside_null,
+    (select count(*) from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '2-HIGH')) as beside_none,
+    (select count(*) from customer where c_custkey not in (select o_custkey from orders where o_totalprice < 0)) as beside_nothing""",
+)
+def _not_in_null(e: Engine) -> DataFrame:
+    left, orders = e.table("customer").select("c_custkey"), e.table("orders")
+    with_null = orders.select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k"))
+    some = orders.filter("o_orderstatus = 'F' and o_orderpriority = '2-HIGH'").select(F.col("o_custkey").alias("k"))
+    nothing = orders.filter("o_totalprice < 0").select(F.col("o_custkey").alias("k"))
+    n = lambda right, name: R.not_in(left, right, "c_custkey", "k").agg(F.count(F.lit(1)).alias(name))
+    return n(with_null, "beside_null").crossJoin(n(some, "beside_none")).crossJoin(n(nothing, "beside_nothing"))  # one row each
+
+
+_both("j12_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O' and o_orderpriority = '1-URGENT')")
 _both("j13_cross", "select n_nationkey, r_regionkey from nation join region on true")
 
 # -- aggregation -------------------------------------------------------------------------------------------------------
@@ -224,23 +257,23 @@ _both(
 # -- changes and definitions: the table that they leave ----------------------------------------------------------------
 def _table(e: Engine) -> Engine:
     e.sql("create table t (k integer primary key, name string not null default 'none', size int, price float)")
-    e.sql("insert into t select p_partkey, p_name, cast(p_size as int), p_retailprice from part where p_partkey <= 200")
+    e.sql("insert into t select p_partkey, p_name, cast(p_size as int), p_retailprice from part")
     return e
 
 
-_T = "select p_partkey::bigint as k, p_name as name, p_size::bigint as size, p_retailprice as price from part where p_partkey <= 200"
+_T = "select p_partkey::bigint as k, p_name as name, p_size::bigint as size, p_retailprice as price from part"
 
 
-@frame("d1_insert", f"{_T} union all select * from (values (1001::bigint, 'a', 5::bigint, 1.5::double), (1002, 'none', null, null)) v")
+@frame("d1_insert", f"{_T} union all select * from (values (900000001::bigint, 'a', 5::bigint, 1.5::double), (900000002, 'none', null, null)) v")
 def _insert(e: Engine) -> DataFrame:
-    _table(e).sql("insert into t values (1001, 'a', 5, 1.5)")
-    e.sql("insert into t (k) values (1002)")
+    _table(e).sql("insert into t values (900000001, 'a', 5, 1.5)")
+    e.sql("insert into t (k) values (900000002)")
     return e.table("t")
 
 
-@frame("d2_insert_select", f"with t as ({_T}) select * from t union all select k + 5000, name, size, price from t where size < 10")
+@frame("d2_insert_select", f"with t as ({_T}) select * from t union all select k + 900000000, name, size, price from t where size < 10")
 def _insert_select(e: Engine) -> DataFrame:
-    _table(e).sql("insert into t select k + 5000, name, size, price from t where size < 10")
+    _table(e).sql("insert into t select k + 900000000, name, size, price from t where size < 10")
     return e.table("t")
 
 
@@ -256,15 +289,15 @@ def _delete(e: Engine) -> DataFrame:
     return e.table("t")
 
 
-@frame("d5_conflict_nothing", f"with t as ({_T}) select * from t union all select 999, 'new', 1, 2.0")
+@frame("d5_conflict_nothing", f"with t as ({_T}) select * from t union all select 900000001, 'new', 1, 2.0")
 def _nothing(e: Engine) -> DataFrame:
-    _table(e).sql("insert into t values (1, 'dup', 1, 1.0), (999, 'new', 1, 2.0), (999, 'second', 2, 3.0) on conflict (k) do nothing")
+    _table(e).sql("insert into t values (1, 'dup', 1, 1.0), (900000001, 'new', 1, 2.0), (900000001, 'second', 2, 3.0) on conflict (k) do nothing")
     return e.table("t")
 
 
-@frame("d6_conflict_update", f"with t as ({_T}) select k, case when k = 1 then 'dup' else name end as name, case when k = 1 then size + 100 else size end as size, price from t union all select 999, 'new', 1, 2.0")
+@frame("d6_conflict_update", f"with t as ({_T}) select k, case when k = 1 then 'dup' else name end as name, case when k = 1 then size + 100 else size end as size, price from t union all select 900000001, 'new', 1, 2.0")
 def _upsert(e: Engine) -> DataFrame:
-    _table(e).sql("insert into t values (1, 'dup', 1, 1.0), (999, 'new', 1, 2.0) on conflict (k) do update set name = excluded.name, size = size + 100")
+    _table(e).sql("insert into t values (1, 'dup', 1, 1.0), (900000001, 'new', 1, 2.0) on conflict (k) do update set name = excluded.name, size = size + 100")
     return e.table("t")
 
 
@@ -324,12 +357,16 @@ def _index(e: Engine) -> DataFrame:
 
 _PARTS = ("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
 frame("l8_analyze", " union all ".join(f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count, count(distinct {c}) as ndv from part" for c in _PARTS))(lambda e: analytics.analyze(e.table("part").select(*_PARTS)))
-frame("l9_explain", None)(lambda e: e.sql("explain select o_orderkey from orders where o_orderkey = 5"))
+frame("l9_explain", "select true as pushed, true as pruned")(
+    lambda e: e.sql("explain select o_totalprice from orders where o_orderkey = 5").agg(
+        F.bool_or(F.col("plan").rlike(r"PushedFilters: \[.*EqualTo\(o_orderkey,5\)")).alias("pushed"), F.bool_or(F.col("plan").rlike(r"ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>")).alias("pruned")
+    )
+)
 
 
-@frame("l10_transaction", f"with t as ({_T}) select * from t where k > 10 union all select 5000, 'kept', 1, 1.0")
+@frame("l10_transaction", f"with t as ({_T}) select * from t where k > 10 union all select 900000001, 'kept', 1, 1.0")
 def _transaction(e: Engine) -> DataFrame:
-    _table(e).script("begin; delete from t; rollback; begin; delete from t where k <= 10; insert into t values (5000, 'kept', 1, 1.0); commit")
+    _table(e).script("begin; delete from t; rollback; begin; delete from t where k <= 10; insert into t values (900000001, 'kept', 1, 1.0); commit")
     return e.table("t")
 
 
@@ -342,7 +379,11 @@ def _script(e: Engine) -> DataFrame:
 _NUM = "select '{c}' as \"column\", '{t}' as type, count(*) as row_count, round((count(*) - count({c})) * 100.0::double / count(*), 2) as null_rate, count(distinct {c}) as \"distinct\", min({c})::varchar as min, max({c})::varchar as max, round(quantile_cont({c}, 0.5), 2)::double as p50, quantile_disc({c}, 0.9)::double as p90, quantile_disc({c}, 0.99)::double as p99 from part"
 _TXT = "select '{c}' as \"column\", 'string' as type, count(*) as row_count, round((count(*) - count({c})) * 100.0::double / count(*), 2) as null_rate, count(distinct {c}) as \"distinct\", min({c}) as min, max({c}) as max, null::double as p50, null::double as p90, null::double as p99 from part"
 frame("c1_stats", " union all ".join([_NUM.format(c="p_partkey", t="bigint"), _NUM.format(c="p_size", t="int"), _TXT.format(c="p_brand")]))(lambda e: analytics.stats(e.table("part").select("p_partkey", "p_size", "p_brand")))
-frame("c2_sample", None)(lambda e: analytics.sample(e.table("orders"), 10))
+frame("c2_sample", "select 10::bigint as n, 10::bigint as keys, 10::bigint as members")(
+    lambda e: analytics.sample(e.table("orders"), 10)
+    .join(e.table("orders").withColumn("there", F.lit(1)), e.table("orders").columns, "left")
+    .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count("there").alias("members"))
+)
 frame(
     "c3_profile",
     """with r as (select p_brand as v, count(*) as n from part group by 1), k as (select v, n, row_number() over (order by n desc, v) as i from r)
