@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import copy
+import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +28,7 @@ class AffectedRows:
 
 
 class _Frames(dict):
-    """Registered DataFrames by name; those of paths are opened, as views too, when first asked for."""
+    """Registered DataFrames by name; those of paths are opened when first asked for."""
 
     def __init__(self, spark: SparkSession):
         super().__init__()
@@ -36,10 +41,8 @@ class _Frames(dict):
         return iter({*super().__iter__(), *self.paths})
 
     def __missing__(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.paths.pop(name))
-        df.createOrReplaceTempView(name)
-        self[name] = df
-        return df
+        self[name] = self.spark.read.parquet(self.paths.pop(name))
+        return self[name]
 
     def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
         return self[name] if name in self else default
@@ -48,8 +51,11 @@ class _Frames(dict):
 class Engine:
     """Tables of a folder (root; a temporary one if None) and registered DataFrames, queried by SQL.
 
-    Changes write new immutable files and then swap a table's pointer; in a transaction pointers are swapped at COMMIT.
-    Rows are never changed in place and a reader keeps the version that it began with. Deviations from the dialect, on
+    Changes write new immutable files and then one commit record that names the current ones; a transaction writes one
+    at COMMIT, with all its tables. Rows are never changed in place and a reader keeps the version that it began with. A
+    statement outside of a transaction begins with the newest version, a transaction keeps that of its BEGIN (snapshot
+    isolation); a change to a table that another session has changed since then fails with SQLSTATE 40001. Tables of
+    attached folders are changed in the same way, each folder by a commit of its own. Deviations from the dialect, on
     purpose: decimals add up exactly, OFFSET and NULLS FIRST/LAST are honoured, overflow is an error, and UPDATE and
     DELETE take any condition.
     """
@@ -59,15 +65,17 @@ class Engine:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
         spark.conf.set("spark.sql.ansi.enabled", "true")
-        self.store = Store(spark, root or "file://" + tempfile.mkdtemp(prefix="millrace-db-"))
-        self.tables: dict[str, Meta] = self.store.tables()
+        self.store = Store(spark, root or _temporary(spark))
+        self.stores: dict[str, Store] = {"": self.store}
+        self.tables: dict[str, Meta] = {}
+        self.opened: dict[str, tuple[Meta, DataFrame]] = {}
         self.views: dict[str, str] = {}
         self.indexes: dict[str, tuple[str, list[str]]] = {}
-        self.stats: dict[str, list[Row]] = {}
         self.frames = _Frames(spark)
         self._saved: tuple | None = None
-        for name in self.tables:
-            self._show(name)
+        #: Unique values are checked later, by ``check``.
+        self.deferred = False
+        self._refresh()
 
     # -- tables in reach -----------------------------------------------------------------------------------------------
     def register(self, folder: str, alias: str | None = None, names: tuple[str, ...] | None = None) -> Engine:
@@ -82,17 +90,45 @@ class Engine:
 
     def register_frame(self, name: str, df: DataFrame) -> None:
         self.frames[name.lower()] = df
-        df.createOrReplaceTempView(name.lower())
 
     def attach(self, root: str, alias: str) -> None:
-        """Tables of another folder as alias.table: queries only."""
-        other = Store(self.spark, root)
-        for name, meta in other.tables().items():
-            self.register_frame(f"{alias}__{name}", other.read(meta))
-        self.frames.setdefault(f"{alias.lower()}__", self.spark.range(0))
+        """Tables of another folder as alias.table, for queries and changes."""
+        if alias.lower() in self.stores:
+            raise SqlError(f"{alias} is attached already", "42P07")
+        self.stores[alias.lower()] = Store(self.spark, root)
+        self._refresh()
+
+    def detach(self, alias: str) -> None:
+        if not alias or alias.lower() not in self.stores:
+            raise SqlError(f"{alias} is not attached", NO_TABLE)
+        del self.stores[alias.lower()]
+        self._refresh()
+
+    def _place(self, name: str) -> tuple[Store, str]:
+        """The store of a table, and its name there."""
+        alias, mark, bare = name.partition("__")
+        return (self.stores[alias], bare) if mark and alias in self.stores else (self.store, name)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        store, bare = self._place(name)
+        return store.write(bare, df)
+
+    def _refresh(self) -> None:
+        """The newest version of all stores' tables, unless a transaction holds its own."""
+        if self._saved:
+            return
+        now = {f"{alias}__{n}" if alias else n: meta for alias, store in self.stores.items() for n, meta in store.refresh().items()}
+        before, self.tables = self.tables, now
+        for name in before.keys() - now.keys():
+            self.spark.catalog.dropTempView(name)
 
-    def _show(self, name: str) -> None:
-        self.store.read(self.tables[name]).createOrReplaceTempView(name)
+    def _publish(self, base: dict[str, Meta], changes: dict[str, Meta | None]) -> None:
+        """One commit in each store that has changes."""
+        for store in self.stores.values():
+            mine = {bare: (name, meta) for name, meta in changes.items() for own, bare in [self._place(name)] if own is store}
+            if mine:
+                store.commit({bare: base[name] for bare, (name, _) in mine.items() if name in base}, {bare: copy.deepcopy(meta) for bare, (_, meta) in mine.items()})
+        self._refresh()
 
     def table(self, name: str) -> DataFrame:
         name = name.lower()
@@ -111,7 +147,7 @@ class Engine:
         elif name in self.frames:
             struct = self.frames[name].schema
         elif name in self.views:
-            struct = self.spark.table(name).schema
+            struct = self.query(self.views[name]).schema
         else:
             return None
         return _kinds(struct)
@@ -130,20 +166,34 @@ class Engine:
             text = text.replace(f"p_{k}_parameter", f":p{k}")
         return self.spark.sql(text, args={f"p{k}": a for k, a in enumerate(args)}) if args else self.spark.sql(text)
 
-    def _spark_text(self, sql: str, args: list | None = None) -> str:
-        flat = tokens(sql)
-        for t in flat:
-            if t.kind in ("word", "quoted"):
-                self.frames.get(t.text.strip('"`').lower())  # a registered table is opened when it is named
-        for alias in {n.split("__")[0] for n in self.frames if "__" in n}:
+    def _named(self, flat: list[Token]) -> list[Token]:
+        """alias.table as one name; registered tables are opened when they are named."""
+        flat = list(flat)
+        for alias in {n.split("__")[0] for n in self.frames if "__" in n} | {a for a in self.stores if a}:
             k = 0
             while k + 2 < len(flat):
                 if flat[k].low == alias and flat[k].kind == "word" and flat[k + 1].low == "." and (k == 0 or flat[k - 1].low != "."):
-                    flat[k : k + 3] = [Token("word", f"{alias}__{flat[k + 2].text.lower()}")]
+                    flat[k : k + 3] = [Token("word", f"{alias}__{flat[k + 2].text.strip(chr(34)).lower()}")]
                 k += 1
+        for word in {t.text.strip('"`').lower() for t in flat if t.kind in ("word", "quoted")}:
+            self._open(word)
+        return flat
+
+    def _open(self, name: str) -> None:
+        """Makes a table, view or frame of this engine the one that Spark's session knows by that name just now."""
+        if name in self.tables:
+            if self.opened.get(name, (None,))[0] != self.tables[name]:
+                self.opened[name] = copy.deepcopy(self.tables[name]), self.store.read(self.tables[name])
+            self.opened[name][1].createOrReplaceTempView(name)
+        elif name in self.views:
+            self.query(self.views[name]).createOrReplaceTempView(name)
+        elif name in self.frames:
+            self.frames[name].createOrReplaceTempView(name)
+
+    def _spark_text(self, sql: str, args: list | None = None) -> str:
         # Parameters that are numbers divide as numbers do; other types are left to Spark.
         given = {f"p_{k}_parameter": "bigint" if isinstance(a, int) else "double" for k, a in enumerate(args or []) if isinstance(a, (int, float)) and not isinstance(a, bool)}
-        return self._rewriter(given, args).text(nested(flat))
+        return self._rewriter(given, args).text(nested(self._named(tokens(sql))))
 
     def query(self, sql: str, args: list | None = None) -> DataFrame:
         """A SELECT."""
@@ -164,16 +214,15 @@ class Engine:
         each = statements(text)
         if len(each) != 1:
             raise SqlError(f"one statement is expected, not {len(each)}", SYNTAX)
-        text = each[0]
-        flat = tokens(text)
+        self._refresh()
+        flat = tokens(each[0])
         words = [t.low for t in flat[:3]]
-        run = self._statement(words, flat, text)
-        if run is None:
-            return self.query(text, args)
-        if self.readonly and words[0] not in ("begin", "start", "commit", "rollback", "explain", "attach"):
+        if words[0] in ("select", "with"):
+            return self.query(each[0], args)
+        flat = self._named(_bound(flat, args or []))
+        run = self._statement(words, flat, _flat_sql(flat))
+        if self.readonly and words[0] not in ("begin", "start", "commit", "rollback", "explain", "attach", "detach"):
             raise SqlError("the session is read-only", READ_ONLY)
-        if args:
-            raise SqlError("parameters are for queries", UNSUPPORTED)
         try:
             return run()
         except SqlError:
@@ -205,11 +254,9 @@ class Engine:
         for name in [*self.tables, *self.frames, *self.views]:
             self.spark.catalog.dropTempView(name)
 
-    def _statement(self, words: list[str], flat: list[Token], text: str) -> Callable | None:
+    def _statement(self, words: list[str], flat: list[Token], text: str) -> Callable:
         one, two = words[0], tuple(words[:2])
         items = nested(flat)
-        if one in ("select", "with"):
-            return None
         simple = {"begin": self._begin, "start": self._begin, "commit": self._commit, "rollback": self._rollback}
         if one in simple:
             return simple[one]
@@ -241,6 +288,8 @@ class Engine:
             return lambda: self.explain(text[text.lower().index("explain") + 7 :])
         if one == "attach":
             return lambda: (self.attach(string_value(flat[1].text), flat[3].low), AffectedRows(0))[1]
+        if one == "detach":
+            return lambda: (self.detach(flat[-1].low), AffectedRows(0))[1]
         raise SqlError(f"statement {one.upper()} is not supported", UNSUPPORTED)
 
     # -- transactions --------------------------------------------------------------------------------------------------
@@ -253,12 +302,14 @@ class Engine:
     def _commit(self) -> AffectedRows:
         if not self._saved:
             raise SqlError("no transaction is open", "25P01")
-        before, self._saved = self._saved[0], None
-        for name, meta in self.tables.items():
-            if before.get(name) != meta:
-                self.store.put(name, meta)
-        for name in before.keys() - self.tables.keys():
-            self.store.remove(name)
+        before, self._saved = self._saved, None
+        changed: dict[str, Meta | None] = {n: m for n, m in self.tables.items() if before[0].get(n) != m} | dict.fromkeys(before[0].keys() - self.tables.keys())
+        try:
+            self._publish(before[0], changed)
+        except BaseException:
+            self._saved = before
+            self._rollback()
+            raise
         return AffectedRows(0)
 
     def _rollback(self) -> AffectedRows:
@@ -267,15 +318,18 @@ class Engine:
         now, (self.tables, self.views, self.indexes), self._saved = self.tables, self._saved, None
         for name in now.keys() - self.tables.keys():
             self.spark.catalog.dropTempView(name)
-        for name in self.tables:
-            self._show(name)
+        self._refresh()
         return AffectedRows(0)
 
-    def _set(self, name: str, meta: Meta) -> None:
-        self.tables[name] = meta
+    def _set(self, name: str, meta: Meta | None) -> None:
+        """A table's new version (None: it goes); committed at once outside of a transaction."""
         if not self._saved:
-            self.store.put(name, meta)
-        self._show(name)
+            self._publish(self.tables, {name: meta})
+        elif meta is None:
+            del self.tables[name]
+            self.spark.catalog.dropTempView(name)
+        else:
+            self.tables[name] = meta
 
     def _own(self, name: str) -> Meta:
         if name in self.views:
@@ -301,7 +355,7 @@ class Engine:
             df = self.query(_sql(items[k + 2 :]))
             kinds = [StructField(f.name.lower(), StringType() if f.dataType.simpleString() == "void" else f.dataType, True) for f in df.schema]
             typed = df.select(*[F.col(f"`{f.name}`").cast(k.dataType).alias(k.name) for f, k in zip(df.schema, kinds, strict=True)])
-            meta = Meta(StructType(kinds).json(), [self.store.write(name, typed)])
+            meta = Meta(StructType(kinds).json(), [self._write(name, typed)])
             self._set(name, meta)
             return AffectedRows(self.store.read(meta).count())
         meta, fields = Meta(""), []
@@ -340,7 +394,7 @@ class Engine:
     def _create_view(self, flat: list[Token]) -> AffectedRows:
         name = flat[2].low
         self._free(name)
-        self.query(_flat_sql(flat[4:])).createOrReplaceTempView(name)
+        _ = self.query(_flat_sql(flat[4:])).schema  # it must be a query
         self.views[name] = _flat_sql(flat[4:])
         return AffectedRows(0)
 
@@ -364,11 +418,12 @@ class Engine:
             if missing_ok:
                 return AffectedRows(0)
             raise SqlError(f"{kind} {name} does not exist", NO_TABLE)
+        if kind == "table":
+            self._set(name, None)
+            return AffectedRows(0)
         del known[name]
-        if kind != "index":
+        if kind == "view":
             self.spark.catalog.dropTempView(name)
-        if kind == "table" and not self._saved:
-            self.store.remove(name)
         return AffectedRows(0)
 
     def _alter(self, items: list) -> AffectedRows:
@@ -399,7 +454,7 @@ class Engine:
         else:
             raise SqlError(f"ALTER TABLE {what.upper()} is not supported", UNSUPPORTED)
         if meta.parts:
-            meta.parts = [self.store.write(name, df)]
+            meta.parts = [self._write(name, df)]
         self._set(name, meta)
         return AffectedRows(0)
 
@@ -420,9 +475,12 @@ class Engine:
                     raise SqlError(f"column {c} of {name} is NOT NULL", "23502")
         return rows
 
-    def _unique(self, name: str, meta: Meta, rows: DataFrame) -> None:
+    def _unique(self, name: str, meta: Meta, fresh: DataFrame, old: DataFrame | None = None) -> None:
+        """Raises if values of unique columns are twice in fresh, or in fresh and old: only fresh values are counted."""
         for c in dict.fromkeys([*([meta.key] if meta.key else []), *meta.unique]):
-            if not rows.filter(F.col(c).isNotNull()).groupBy(c).count().filter("count > 1").isEmpty():
+            values = fresh.select(c).filter(F.col(c).isNotNull())
+            again = old is not None and not old.select(c).join(values, c, "left_semi").isEmpty()
+            if again or not values.groupBy(c).count().filter("count > 1").isEmpty():
                 raise SqlError(f"duplicate value in {c} of {name}", "23505")
 
     def _typed(self, name: str, meta: Meta, rows: DataFrame) -> DataFrame:
@@ -470,11 +528,10 @@ class Engine:
         typed = self._typed(name, meta, rows).withColumns({}) if not (replace or conflict < len(items)) else None
         old = self.store.read(meta)
         if typed is not None:
-            part = self.store.write(name, self._checked(name, meta, typed))
+            part = self._write(name, self._checked(name, meta, typed))
             fresh = self.spark.read.schema(meta.struct).parquet(part)
-            keys = [c for c in dict.fromkeys([meta.key, *meta.unique]) if c]
-            if keys:
-                self._unique(name, meta, old.select(*keys).unionByName(fresh.select(*keys)))
+            if not self.deferred:
+                self._unique(name, meta, fresh, old)
             count = fresh.count()
             meta.parts = [*meta.parts, part]
             self._set(name, meta)
@@ -485,7 +542,7 @@ class Engine:
             new, count = self._replaced(meta, old, ordered)
         else:
             new, count = self._upserted(meta, old, ordered, items[conflict + 2 :])
-        part = self.store.write(name, new)
+        part = self._write(name, new)
         meta.parts = [part]
         self._unique(name, meta, self.store.read(meta))
         self._set(name, meta)
@@ -563,14 +620,17 @@ class Engine:
             if c not in types:
                 raise SqlError(f"column {c} does not exist", NO_COLUMN)
             sets[c] = F.expr(write.text(part[2:]) if part[2].low != "default" else write(meta.defaults.get(c, "null")))
-        old = self.store.read(meta)
-        count = old.filter(cond).count()
+        # One pass finds the files that hold such rows; only these are written anew.
+        count, hit, others = self.store.matching(meta, cond)
         if count:
+            old = self.spark.read.schema(meta.struct).parquet(*hit)
             changed = old.filter(cond).select(*[sets.get(f.name, F.col(f.name)).alias(f.name) for f in meta.struct])
             typed = self._checked(name, meta, self._typed(name, meta, changed))
-            meta.parts = [self.store.write(name, old.filter(~cond).unionByName(typed))]
             if set(sets) & {meta.key, *meta.unique}:
-                self._unique(name, meta, self.store.read(meta))
+                rest = old.filter(~cond)
+                self._unique(name, meta, typed, rest.unionByName(self.spark.read.schema(meta.struct).parquet(*others)) if others else rest)
+            part = self._write(name, old.filter(~cond).unionByName(typed))
+            meta.parts = [*_untouched(meta.parts, hit, others), part]
             self._set(name, meta)
         return AffectedRows(count)
 
@@ -578,15 +638,14 @@ class Engine:
         name = items[2].low
         meta = self._own(name)
         where = next((i for i, t in enumerate(items) if t.low == "where"), None)
-        old = self.store.read(meta)
         if where is None:
-            count = old.count()
-            meta.parts = []
+            count, meta.parts = self.store.read(meta).count(), []
         else:
             condition = F.coalesce(F.expr(self._rewriter(_kinds(meta.struct)).text(items[where + 1 :])), F.lit(False))
-            count = old.filter(condition).count()
+            count, hit, others = self.store.matching(meta, condition)
             if count:
-                meta.parts = [self.store.write(name, old.filter(~condition))]
+                part = self._write(name, self.spark.read.schema(meta.struct).parquet(*hit).filter(~condition))
+                meta.parts = [*_untouched(meta.parts, hit, others), part]
         self._set(name, meta)
         return AffectedRows(count)
 
@@ -594,9 +653,20 @@ class Engine:
     def analyze(self, name: str) -> DataFrame:
         from millrace.operators.analytics import analyze
 
-        out = analyze(self.table(name))
-        self.stats[name] = out.collect()  # a row a column
-        return out
+        return analyze(self.table(name))
+
+    def check(self) -> DataFrame:
+        """(table, problem): what the data of the engine's tables breaks of their constraints; no row if all is well."""
+        found = []
+        for name in sorted(self.tables):
+            meta = self.tables[name]
+            rows = self.store.read(meta)
+            for what in (lambda m=meta, r=rows, n=name: self._checked(n, m, r), lambda m=meta, r=rows, n=name: self._unique(n, m, r)):
+                try:
+                    what()
+                except Exception as e:  # noqa: BLE001
+                    found.append((name, translated(e).message))
+        return self.spark.createDataFrame(found, "table string, problem string")
 
     def explain(self, sql: str) -> DataFrame:
         """The plan as text, one line a row; nothing runs."""
@@ -613,6 +683,51 @@ def _kinds(struct: StructType) -> dict[str, str]:
     return {f.name.lower(): f.dataType.simpleString() for f in struct}
 
 
+def _temporary(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; on one machine, where no shared one is named, a local one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return f"{base.rstrip('/')}/millrace-db-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise SqlError("an engine without a folder needs spark.checkpoint.dir, a folder that all executors share", UNSUPPORTED)
+    return "file://" + tempfile.mkdtemp(prefix="millrace-db-")
+
+
+def _untouched(parts: list[str], hit: list[str], others: list[str]) -> list[str]:
+    """Folders and files of parts without any file of hit; of a folder that has one, its other files."""
+    out = []
+    for p in parts:
+        place = unquote(p).replace("file:///", "file:/").rstrip("/")
+        inside = lambda f, place=place: f == place or f.startswith(place + "/")
+        out += [f for f in others if inside(f)] if any(map(inside, hit)) else [p]
+    return out
+
+
+def _bound(flat: list[Token], args: list) -> list[Token]:
+    """The statement with a literal for each parameter."""
+    marks = sum(t.kind == "op" and t.text == "?" for t in flat)
+    if marks != len(args):
+        raise SqlError(f"{marks} parameters are needed, {len(args)} are given", SYNTAX)
+    rest = iter(args)
+    return [x for t in flat for x in (tokens(_literal(next(rest))) if t.kind == "op" and t.text == "?" else [t])]
+
+
+def _literal(value: object) -> str:
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    if isinstance(value, (int, float, Decimal)):
+        if isinstance(value, float) and not math.isfinite(value):
+            raise SqlError("a parameter must be finite", SYNTAX)
+        return str(value)
+    if isinstance(value, bytes):
+        return f"unhex('{value.hex()}')"
+    if isinstance(value, datetime):
+        return f"timestamp '{value}'"
+    if isinstance(value, date):
+        return f"date '{value}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 def _flat_sql(flat: list[Token]) -> str:
     return " ".join(t.text for t in flat)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SYNTAX, UNSUPPORTED, NO_TABLE, NO_COLUMN, AMBIGUOUS, READ_ONLY, OTHER = "42601", "0A000", "42P01", "42703", "42702", "25006", "58000"
+SYNTAX, UNSUPPORTED, NO_TABLE, NO_COLUMN, AMBIGUOUS, READ_ONLY, CONFLICT, OTHER = "42601", "0A000", "42P01", "42703", "42702", "25006", "40001", "58000"
 
 
 class SqlError(Exception):

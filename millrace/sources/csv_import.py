@@ -64,10 +64,9 @@ def import_csv(engine: Engine, path: str, table: str) -> AffectedRows:
         meta = Meta(struct.json())
     else:
         meta = engine._own(name)
-    part = engine.store.write(name, engine._checked(name, meta, rows))
+    part = engine._write(name, engine._checked(name, meta, rows))
     fresh = engine.spark.read.schema(struct).parquet(part)
-    if meta.key or meta.unique:
-        engine._unique(name, meta, engine.store.read(meta).unionByName(fresh))
+    engine._unique(name, meta, fresh, engine.store.read(meta))
     meta.parts = [*meta.parts, part]
     engine._set(name, meta)
     return AffectedRows(fresh.count())

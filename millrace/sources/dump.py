@@ -10,6 +10,8 @@ from pyspark.sql.types import BinaryType, BooleanType, DateType, StringType, Str
 
 from millrace.engine.session import Engine
 from millrace.engine.store import Meta
+from millrace.errors import SqlError
+from millrace.plans.rewrite import statements
 
 #: Declared names of the types.
 NAMES = {"bigint": "INTEGER", "double": "FLOAT", "string": "STRING", "boolean": "BOOL", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
@@ -48,18 +50,29 @@ def _literal(f: StructField) -> Column:
 
 def dump(engine: Engine) -> Iterator[str]:
     """Statements one after another; rows pass through the driver a partition at a time."""
-    for name in sorted(engine.tables):
-        meta = engine.tables[name]
+    for name, meta in sorted(engine.store.refresh().items()):
         yield create_table(name, meta)
         row = F.concat_ws(", ", *[_literal(f) for f in meta.struct])
         for r in engine.store.read(meta).select(row.alias("r")).toLocalIterator():
             yield f'INSERT INTO "{name}" VALUES ({r["r"]})'
 
 
-def restore(engine: Engine, script: str, batch: int = 500) -> None:
-    """Runs a dump in an empty engine; INSERTs into one table that follow each other are joined."""
-    from millrace.plans.rewrite import statements
+def restore(engine: Engine, script: str, batch: int = 2000) -> None:
+    """Runs a dump in an empty engine, all of it or nothing; the text passes through the driver.
 
+    INSERTs into one table that follow each other are joined, and unique values are checked once at the end.
+    """
+    with engine.transaction():
+        engine.deferred = True
+        try:
+            _restore(engine, script, batch)
+        finally:
+            engine.deferred = False
+        for r in engine.check().collect():  # a row a broken constraint
+            raise SqlError(r["problem"], "23505")
+
+
+def _restore(engine: Engine, script: str, batch: int) -> None:
     head, rows = "", []
 
     def flush() -> None:
