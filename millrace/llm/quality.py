@@ -20,8 +20,9 @@ FITTED, CALIBRATED = 40_000, 20_000
 KEPT_SHARE = 0.995
 #: Features that every document is taken to have besides its own, at ratio one: few words say little.
 PRIOR = 20
-#: The log weight of a document per unit of its mean log ratio; against it the Gumbel noise has scale 1.
-SHARPNESS = 1000.0
+#: Length temperature: a document's log ratio counts as that of so many of its features, however long it is. Else a long
+#: document would always or never be drawn; so the Gumbel noise, of scale 1, decides between documents of like weight.
+LENGTH = 100.0
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -44,20 +45,21 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + weight * p) / (target.sum() + weight)) - np.log(p)
 
 
-def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, seed: int = 0, k: int | None = None) -> DataFrame:
     """(doc_id, n_features, weight, key, kept, text_hash) of every row of docs (doc_id, text).
 
     labels (doc_id, quality 0/1, toxic 0/1): the target are documents of quality 1 that are not toxic. The raw model
-    counts the words and word pairs of all documents, the target model those of up to FITTED labelled target ones;
-    weight is the log ratio of the two, a mean over the document's features. Labelled documents that the target model
-    has not seen (CALIBRATED of each kind at most) set the cut: the best one between the kinds, lowered until
-    KEPT_SHARE of the target stays. k is the number of documents whose weight reaches the cut, and the k of largest
-    ``key`` = SHARPNESS * weight + Gumbel noise by doc_id are kept: a sample without replacement by importance, in which
-    only documents close to the cut change places. Equal keys (repeated rows) are kept or rejected together.
-
-    Texts without any feature (null, empty, blank) have weight null and are rejected. Without usable labels all others
-    are kept. A null doc_id counts as -1 for the noise and has no label. Repeated labels count once; a document labelled
-    both ways is no target. Other columns are ignored.
+    counts the words and word pairs of all documents, the target model those of up to FITTED labelled target ones.
+    ``weight`` is the log importance weight, log p_target - log p_raw of the document at the length temperature LENGTH,
+    ``key`` = weight + standard Gumbel noise by doc_id, and the k documents of largest key are kept: a sample of size k
+    without replacement, in which a document is drawn next with a probability proportional to exp(weight) among those
+    left. With k None, k is the number of documents whose weight reaches a cut that labelled documents set which the
+    target model has not seen (CALIBRATED of each kind at most): the best one between the kinds, lowered until
+    KEPT_SHARE of the target reaches it. Equal keys (repeated rows) are kept or rejected together.
+
+    Texts without any feature (null, empty, blank) have weight null and are rejected. Without usable labels all weights
+    are zero, and all others are kept unless k says less. A null doc_id counts as -1 for the noise and has no label.
+    Repeated labels count once; a document labelled both ways is no target. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -91,14 +93,15 @@ def scored(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
             for at, some, bucket, doc in word_ngrams(batch.column("text").to_pylist(), BUCKETS):
                 n[at : at + some] = np.bincount(doc, minlength=some)
                 total[at : at + some] = np.bincount(doc, weights=ratio.value[bucket], minlength=some)
-            weight = total / (n + PRIOR)
-            key = SHARPNESS * weight + gumbel(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), seed)
+            weight = LENGTH * total / (n + PRIOR)
+            key = weight + gumbel(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), seed)
             empty = n == 0
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "role": batch.column("role"), "n_features": n, "weight": pa.array(weight, mask=empty), "key": pa.array(key, mask=empty), "bits": pa.array(sortable(key), mask=empty)})
 
     out = written(flagged.mapInArrow(score, "doc_id long, text_hash long, role int, n_features long, weight double, key double, bits long"), "weights")
-    cut = _cut(out.filter("role < 2 and weight is not null").dropDuplicates(["doc_id"]).select("role", "weight").toPandas()) if usable else None
-    k = out.filter("weight is not null" if cut is None else F.col("weight") >= cut).count()
+    cut = None if k is not None else _cut(out.filter("role < 2 and weight is not null").dropDuplicates(["doc_id"]).select("role", "weight").toPandas()) if usable else None
+    if k is None:
+        k = out.filter("weight is not null" if cut is None else F.col("weight") >= cut).count()
     last = kth_largest(out.filter("bits is not null"), "bits", k)
     return out.select("doc_id", "n_features", "weight", "key", F.coalesce(F.col("bits") >= F.lit(last), F.lit(False)).alias("kept"), "text_hash")
 
@@ -132,11 +135,11 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
-def selected(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, seed: int = 0, k: int | None = None) -> DataFrame:
     """The rows of docs that ``scored`` keeps, with all their columns."""
     gone, h = free_name("gone", docs.columns), free_name("text_hash", docs.columns)
     # Rejected documents are the smaller side; a row is told from others of its doc_id by its text.
-    drop = scored(docs, labels, seed).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(h)).distinct()
+    drop = scored(docs, labels, seed, k).filter("not kept").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(h)).distinct()
     drop = written(drop, "rejected")
     text_hash = F.xxhash64(F.col("text").cast("string"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone)) & (text_hash == F.col(h))
