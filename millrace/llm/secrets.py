@@ -137,15 +137,45 @@ def _trigrams(query: object) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
 
 
-def _holds(query: object, number: dict[str, int]) -> Column:
-    """The query over the posting lists that a document is in (``there``: numbers of trigrams)."""
+def _alternatives(query: object) -> set[frozenset[str]]:
+    """The query as alternatives, each a set of trigrams that must all be there."""
     if isinstance(query, str):
-        return F.array_contains("there", number[query])
-    parts = [_holds(p, number) for p in sorted(query[1], key=str)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
-    return out
+        return {frozenset({query})}
+    parts = [_alternatives(p) for p in sorted(query[1], key=str)]
+    every = set().union(*parts) if query[0] == "or" else {frozenset().union(*each) for each in product(*parts)}
+    return {x for x in every if not any(y < x for y in every)}
+
+
+#: Documents of one block of the index: a posting list is a bitmap of so many bits for each block that has any.
+BLOCK = 32_768
+
+
+def postings(numbered: DataFrame) -> DataFrame:
+    """(block, trigram, docs) from numbered (number from 1 on, trigrams: array): the inverted index, a bitmap a list.
+
+    Lists are cut into blocks of documents, so that a frequent trigram's list is many rows, and are put together from
+    partial bitmaps: a task sends one bitmap a block and trigram, however many documents it has.
+    """
+    each = numbered.select("number", F.explode("trigrams").alias("trigram"))
+    return each.groupBy(F.bitmap_bucket_number("number").alias("block"), "trigram").agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("docs"))
+
+
+def candidates(index: DataFrame, queries: dict[str, object], number: dict[str, int]) -> DataFrame:
+    """(number, wanted: array of kinds): documents that fulfil a query, from intersections and unions of posting lists.
+
+    queries: trigram queries by kind, none of them True; number: by trigram. In each block the lists of an alternative
+    are intersected, if all are there, and those of a rule's alternatives united.
+    """
+    wanted = [(kind, k, number[g], len(each)) for kind, q in queries.items() for k, each in enumerate(sorted(_alternatives(q), key=sorted)) for g in sorted(each)]
+    known = F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).alias("alternative"), F.lit(c).alias("trigram"), F.lit(d).alias("need")) for a, b, c, d in wanted])
+    of = index.select("block", "docs", F.explode(F.filter(known, lambda w: w["trigram"] == F.col("trigram"))).alias("w")).select("block", "docs", "w.kind", "w.alternative", "w.need")
+    both = of.groupBy("block", "kind", "alternative", "need").agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("docs").alias("docs")).filter("n = need")
+    either = both.groupBy("block", "kind").agg(F.bitmap_or_agg("docs").alias("docs")).filter(F.bitmap_count("docs") > 0)
+    octet = F.conv(F.hex(F.substring("docs", F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
+    octets = either.select("block", "kind", "docs", F.explode(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1))).alias("at")).select("block", "kind", "at", octet.alias("octet")).filter("octet > 0")
+    bits = octets.select("block", "kind", "at", "octet", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).filter(F.expr("shiftright(octet, bit) & 1 = 1"))
+    found = bits.select(((F.col("block") - 1) * BLOCK + F.col("at") * 8 + F.col("bit") + 1).alias("number"), "kind")
+    return found.groupBy("number").agg(F.collect_set("kind").alias("wanted"))  # at most as many as there are rules
 
 
 def _spans(text: str, rule: Rule) -> Column:
@@ -173,17 +203,16 @@ def _spans(text: str, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keyed: bool = False) -> DataFrame:
-    """(doc_id[, key], found: map of kind to array<struct<start, end>>) of every whole text; code points, end exclusive.
+    """(doc_id[, text_hash], found: map of kind to array<struct<start, end>>) of every whole text; code points, end exclusive.
 
-    Rules with mandatory trigrams: an inverted index of these trigrams over all texts gives, for each document that has
-    any, the posting lists that it is in; the lists are intersected and united as each rule's Boolean query says, and
-    only the candidates' texts are read again and matched. A rule without such trigrams is matched in every text.
-    Null and empty texts have no spans. Documents must have ids to meet again: rows of equal doc_id, null included, are
-    told apart by their text's hash (``key``), and equal rows get equal results. Other columns are ignored.
+    Rules with mandatory trigrams: an inverted index of these trigrams over all texts (``postings``) gives by Boolean
+    queries the candidates (``candidates``), and only these texts are read again and matched. A rule without such
+    trigrams is matched in every text. Null and empty texts have no spans. Rows of equal doc_id, null included, are told
+    apart by their text's hash, and equal rows get equal results. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", _key(F.col("doc_id"), F.col("text")))
-    out = ["doc_id", *["key"] * keyed]
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    out = ["doc_id", *["text_hash"] * keyed]
     queries = {r: trigram_query(r) for r in rules}
     indexed = [r for r in rules if queries[r] is not True]
     number = {g: k for k, g in enumerate(sorted(set().union(*map(_trigrams, queries.values()))))}
@@ -191,18 +220,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keyed: bool = F
     scanned = F.create_map(*[x for r in rules if queries[r] is True for x in (F.lit(r.kind), _spans("text", r))]) if len(indexed) < len(rules) else F.create_map().cast("map<string,array<struct<start:long,end:long>>>")
     if not indexed:
         return rows.select(*out, scanned.alias("found"))
-    # Postings: (trigram, document), for the trigrams of the rules. One in some candidate query is enough to be kept.
     # F.lower changes more letters than A-Z, which can only add candidates; its own column, so that it runs once a text.
-    low = rows.select("key", F.lower("text").alias("low"))
-    posted = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(k)) for g, k in number.items()]))
-    postings = low.select("key", F.explode(posted).alias("trigram"))
-    lists = postings.groupBy("key").agg(F.collect_set("trigram").alias("there"))  # at most as many as there are trigrams
-    wanted = F.array_compact(F.array(*[F.when(_holds(queries[r], number), F.lit(r.kind)) for r in indexed]))
-    candidates = written(lists.select("key", wanted.alias("wanted")).filter(F.size("wanted") > 0), "candidates")
+    low = rows.select("doc_id", "text_hash", F.lower("text").alias("low"))
+    there = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(k)) for g, k in number.items()]))
+    # Written once, so that a number names one document however often tasks run again.
+    numbered = written(low.select("doc_id", "text_hash", there.alias("trigrams")).filter(F.size("trigrams") > 0).withColumn("number", F.monotonically_increasing_id() + 1), "numbered")
+    index = written(postings(numbered), "postings")
+    wanted = candidates(index, {r.kind: queries[r] for r in indexed}, number)
+    chosen = numbered.join(wanted, "number").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "wanted").dropDuplicates(["own_id", "own_hash"])
+    chosen = written(chosen, "candidates")
     verified = F.create_map(*[x for r in indexed for x in (F.lit(r.kind), F.when(F.array_contains("wanted", r.kind), _spans("text", r)).otherwise(empty))])
-    checked = written(rows.join(candidates, "key").select("key", verified.alias("verified")), "verified").dropDuplicates(["key"])
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+    checked = written(rows.join(chosen, same).select("own_id", "own_hash", verified.alias("verified")), "verified").dropDuplicates(["own_id", "own_hash"])
     none = F.create_map(*[x for r in indexed for x in (F.lit(r.kind), empty)])
-    return rows.select("doc_id", "key", scanned.alias("scanned")).join(checked, "key", "left").select(*out, F.map_concat("scanned", F.coalesce("verified", none)).alias("found"))
+    return rows.select("doc_id", "text_hash", scanned.alias("scanned")).join(checked, same, "left").select(*out, F.map_concat("scanned", F.coalesce("verified", none)).alias("found"))
 
 
 def digest(found: str | Column, rules: tuple[Rule, ...]) -> Column:
@@ -221,8 +252,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mask: str =
 
     A null text stays null. Repeated rows stay repeated.
     """
-    key, spans = free_name("key", docs.columns), free_name("spans", docs.columns)
-    found = scan(docs, rules, keyed=True).select(F.col("key").alias(key), F.array_sort(F.flatten(F.map_values("found"))).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([key])
+    own_id, own_hash, spans = (free_name(n, docs.columns) for n in ("own_id", "own_hash", "spans"))
+    found = scan(docs, rules, keyed=True).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.array_sort(F.flatten(F.map_values("found"))).alias(spans))
+    found = found.filter(F.size(spans) > 0).dropDuplicates([own_id, own_hash])
     text = F.col("text").cast("string")
     done = F.aggregate(
         spans,
@@ -233,9 +265,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mask: str =
         ),
         lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.char_length(text))),
     )
-    joined = docs.withColumn(key, _key(F.col("doc_id"), F.coalesce(text, F.lit("")))).join(written(found, "secrets"), key, "left")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_hash))
+    joined = docs.join(written(found, "secrets"), same, "left")
     return joined.select(*[F.when(F.col(spans).isNull(), text).otherwise(done).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
-
-def _key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(text, F.coalesce(doc_id.cast("bigint"), F.lit(-1)), doc_id.isNull())
