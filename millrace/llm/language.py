@@ -97,14 +97,13 @@ def _mixtures(loglik: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndar
 
 
 def mixtures(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """Shares of the languages (columns of table) in each text; rows of zeros for texts without a letter.
+    """Shares of the languages (rows of table) in each text; rows of zeros for texts without a letter.
 
     Words are the units: the n-grams of a word give its likelihood in each language, and EM the languages' shares among
     the words. Of the nested sets of the first 1, 2, ... languages by share, that of the largest likelihood less PENALTY
     times log(words) for each language is taken.
     """
-    n_langs = table.shape[1]
-    columns = [np.ascontiguousarray(table[:, j], np.float32) for j in range(n_langs)]
+    n_langs = len(table)
     out = np.zeros((len(texts), n_langs))
     for at, data, ends in runs([(t or "").lower() for t in texts]):
         grams, word, doc = _ngrams(data, ends)
@@ -119,7 +118,7 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> np.ndarray:
             if len(firsts):
                 bucket = row[real]
                 for j in range(n_langs):
-                    loglik[j, w[firsts]] += np.add.reduceat(columns[j][bucket], firsts)
+                    loglik[j, w[firsts]] += np.add.reduceat(table[j][bucket], firsts)
         there, local = np.unique(doc, return_inverse=True)
         n = len(there)
         first = np.searchsorted(local, np.arange(n))
@@ -156,8 +155,8 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     letter is a word's. Other columns are ignored; repeated rows stay.
     """
     names = sorted(model)
-    table = np.stack([model[k] for k in names], axis=1) if names else np.zeros((BUCKETS, 0))
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # of a size that only BUCKETS and the languages set
+    table = np.array([model[k] for k in names], np.float32) if names else np.zeros((0, BUCKETS), np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 MB a language, whatever the number of documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
