@@ -33,10 +33,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
-    if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, STEP, np.uint64))])
-        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, pow(STEP, -1, 1 << 64), np.uint64))])
-    return _powers, _inverse
+    if len(_powers) >= n:
+        return _powers, _inverse
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, STEP, np.uint64))])
+    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, pow(STEP, -1, 1 << 64), np.uint64))])
+    if n <= 2 * RUN:  # those of a long text aren't kept
+        _powers, _inverse = powers, inverse
+    return powers, inverse
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

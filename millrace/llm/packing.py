@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, tidy, written
+from millrace.llm.common import bound_batches, free_name, tidy, written
 
 #: Pieces that one task packs together. A group's last sequence may stay part empty, one in some thousands.
 GROUP = 20_000
@@ -123,9 +123,11 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
 
     Rows are dealt evenly to groups of some GROUP rows by their place in a written table (a task that is run again
     deals alike; no key can make a group large), and each group is packed by best-two-fit. Every row is placed once;
-    rows of equal length are interchangeable. An empty input gives an empty result.
+    rows of equal length are interchangeable. Columns of rows named sequence_id or offset are replaced. An empty input
+    gives an empty result.
     """
-    placed = written(rows, "pieces")
+    placed = written(rows.drop("sequence_id", "offset"), "pieces")
+    group = free_name("group", placed.columns)
     groups = max(1, -(-placed.count() // GROUP))
     schema = placed.schema.add("sequence_id", "long").add("offset", "long")
 
@@ -142,7 +144,7 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
                 used[n] += 1
                 sequence[row], offset[row] = (int(key[0]) << 32) + k, at
                 at += n
-        return rows.drop(columns="group_").assign(sequence_id=sequence, offset=offset)
+        return rows.drop(columns=group).assign(sequence_id=sequence, offset=offset)
 
-    dealt = placed.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("group_").applyInPandas(run, schema)
+    dealt = placed.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(group).applyInPandas(run, schema)

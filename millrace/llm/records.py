@@ -11,6 +11,7 @@ can be read in any order.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,6 +27,8 @@ from millrace.llm.common import bound_batches, scratch_path, shuffle_partitions,
 #: Fixed value of the masked-checksum convention of record files.
 MASK = 0xA282EAD8
 HEAD, ID = struct.Struct("<QI"), struct.Struct("<Bq")
+#: Bytes of text for each task, and of a data file before a task begins another.
+TASK_BYTES, FILE_BYTES = 64 << 20, 256 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("flags", "<u8"), ("offset", "<u8"), ("before", "<u8"), ("n", "<u8")])
 
 
@@ -72,11 +75,13 @@ def _store(uri: str):
 def write_records(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]], end_id: int, vocabulary: int, path: str | None = None) -> tuple[str, DataFrame]:
     """Writes the ids of every text of docs (doc_id, text) and end_id after each, in ascending doc_id order.
 
-    Documents are dealt by ranges of doc_id; each task streams its range, sorted, into one data file and one index file
-    under a temporary name and renames them when complete, so a task that is run again (lost executor) just replaces
-    the same bytes. Only scalars go to the driver: one row a file. Returns the folder and a DataFrame (file, first
-    number of all ids before it). A null text counts as empty (the record holds end_id alone); a null doc_id sorts
-    first; rows with equal doc_id are ordered by text; other columns are ignored; an empty table writes no file.
+    Documents are dealt by ranges of doc_id, in as many parts as their bytes need; each task streams its range, sorted,
+    into data files of some FILE_BYTES and an index file beside each. File names hold the attempt, so a task that runs
+    again (lost executor) writes files of its own, and the list of files says which count; it stands as ``files.json``
+    in the folder too. Only scalars go to the driver: one row a file. Returns the folder and a DataFrame (file, number
+    of all ids before it). A null text counts as empty (the record holds end_id alone); a null doc_id sorts first; rows
+    with equal doc_id are ordered by a hash of their text, and so don't all have to be in one task; other columns are
+    ignored; an empty table writes no data file.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -85,16 +90,25 @@ def write_records(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(path)
-        name = f"{folder}/part-{TaskContext.get().partitionId():06d}"
-        attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
-        entries, offset, before, out = [], 0, 0, None
+        context = TaskContext.get()
+        # Order by name is order by doc_id: range, then file of the task.
+        stem, files, out = f"part-{context.partitionId():06d}", 0, None
+        tail = f"-{context.taskAttemptId()}"
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            index.close()
+            return pa.RecordBatch.from_pydict({"file": [name], "n_tokens": pa.array([before], pa.int64())})
+
         for batch in tidy(batches):
-            if out is None:
-                store.create_dir(folder, recursive=True)
-                out = store.open_output_stream(f"{attempt}.tmp")
             for at in range(0, batch.num_rows, 512):
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    name, offset, before = f"{stem}-{files:06d}{tail}", 0, 0
+                    out, index = (store.open_output_stream(f"{folder}/{name}.{kind}") for kind in ("records", "index"))
+                    files += 1
                 part = batch.slice(at, 512)
-                framed = []
+                framed, entries = [], []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     payload, flags = serialize(doc_id, np.append(ids, end_id), narrow)
                     record = frame(payload)
@@ -103,22 +117,27 @@ def write_records(docs: DataFrame, encode: Callable[[pa.Array], list[np.ndarray]
                     before += len(ids) + 1
                     framed.append(record)
                 out.write(b"".join(framed))
+                index.write(np.array(entries, INDEX).tobytes())
+                if offset >= FILE_BYTES:
+                    yield close()
+                    out = None
         if out is not None:
-            out.close()
-            with store.open_output_stream(f"{attempt}.index.tmp") as f:
-                f.write(np.array(entries, INDEX).tobytes())
-            store.move(f"{attempt}.tmp", f"{name}.records")
-            store.move(f"{attempt}.index.tmp", f"{name}.index")
-            yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_tokens": pa.array([before], pa.int64())})
+            yield close()
 
-    n = max(shuffle_partitions(spark), 1)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(spark), -(-size // TASK_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    files = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     done = sorted(files.mapInArrow(write, "file string, n_tokens long").collect())  # one row a file
     starts, total = [], 0
     for r in done:
         starts.append((r["file"], total))
         total += r["n_tokens"]
+    store, folder = _store(path)
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/files.json") as f:
+        f.write(json.dumps([{"file": name, "start": start} for name, start in starts]).encode())
     return path, spark.createDataFrame(starts, "file string, start long")
 
 
@@ -129,19 +148,21 @@ def read_records(path: str, files: DataFrame) -> DataFrame:
         store, folder = _store(path)
         for batch in tidy(batches):
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with store.open_input_stream(f"{folder}/{name}.index") as f:
-                    index = np.frombuffer(f.read(), INDEX)
-                with store.open_input_file(f"{folder}/{name}.records") as f:
-                    size = f.size()
-                    for at in range(0, len(index), 2000):
-                        some = index[at : at + 2000]
-                        begin, end = int(some["offset"][0]), int(index["offset"][at + 2000]) if at + 2000 < len(index) else size
+                with store.open_input_file(f"{folder}/{name}.index") as entries, store.open_input_file(f"{folder}/{name}.records") as f:
+                    size, n = f.size(), entries.size() // INDEX.itemsize
+                    for at in range(0, n, 2000):
+                        entries.seek(at * INDEX.itemsize)
+                        # One entry more, to know where the last record ends.
+                        some = np.frombuffer(entries.read(2001 * INDEX.itemsize), INDEX)
+                        end = int(some["offset"][2000]) if len(some) > 2000 else size
+                        some = some[:2000]
+                        begin = int(some["offset"][0])
                         f.seek(begin)
                         data = f.read(end - begin)
                         ids_of, crcs = [], []
-                        for offset, n in zip((some["offset"] - begin).tolist(), some["n"].tolist(), strict=True):
+                        for offset, count in zip((some["offset"] - begin).tolist(), some["n"].tolist(), strict=True):
                             doc_id, ids = deserialize(unframe(data, offset)[0])
-                            if len(ids) != n:
+                            if len(ids) != count:
                                 raise ValueError(f"{name}: the index doesn't fit the record at {offset + begin}")
                             ids_of.append(doc_id)
                             crcs.append(zlib.crc32(ids.tobytes()))
