@@ -15,37 +15,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import lines, packing, quality, secrets, shingles, simhash
-from millrace.llm.common import table, written
+from millrace.llm.common import free_name, table, written
 from millrace.llm.queries import word_bpe
 
 CAPACITY, END_ID = 4096, 1
 
 
 def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if it is there, as its text now has them (null for a null text)."""
     if "n_chars" not in docs.columns:
         return docs
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that importance resampling keeps; null, empty and blank texts go, repeated rows stay or go together."""
     return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.deduplicated(docs, dropped="dropped_lines_")
-    emptied = (F.size("dropped_lines_") > 0) & (F.trim("text") == "")
-    return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).drop("dropped_lines_"))
+    """Texts without lines that an earlier document has; rows of which nothing is left go, null and blank texts stay."""
+    dropped = free_name("dropped_lines", docs.columns)
+    left = lines.deduplicated(docs, dropped=dropped)
+    emptied = (F.size(dropped) > 0) & (F.regexp_replace("text", r"\s", "") == "")
+    return _measured(left.filter(~F.coalesce(emptied, F.lit(False))).drop(dropped))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group: that of the smallest doc_id. Texts without words count as equal; of repeated rows one stays; a
+    row without an id goes if its group has one."""
     return simhash.first_of_groups(docs, shingles.near_duplicates(docs, words=5, radius=6, least=0.8))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with [SECRET] for each span of a secret; a null text stays null."""
     return _measured(secrets.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece, with its place in a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or
+    empty text is a piece of the end token alone."""
     return packing.pack(packing.pieces(docs, word_bpe, END_ID, CAPACITY), CAPACITY)
 
 
