@@ -1,27 +1,73 @@
-"""Table analytics: ANALYZE, stats, sample and profile, each in a pass or two over the table."""
+"""Table analytics: ANALYZE, stats, sample and profile; to the driver goes a row a column, and a bounded number of values."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType
+from pyspark.sql.types import BinaryType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField
 
 _NUMBERS = (IntegerType, LongType, ShortType, DoubleType, FloatType)
 
 
-def _stacked(df: DataFrame, each: list[tuple[str, list[Column]]], names: list[str]) -> DataFrame:
-    """One row a column of df, from one aggregation over all."""
-    one = df.agg(*[v.alias(f"{i}_{n}") for i, (_, values) in enumerate(each) for n, v in zip(names, values, strict=True)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in names]) for i, (c, _) in enumerate(each)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+#: Distinct values that the driver gets at most to find a rank among them.
+FEW = 10_000
+
+
+def _each(df: DataFrame, figures: Callable[[StructField], list[Column]]) -> list[Row]:
+    """A row a column: its name, rows, nulls and distinct values, and figures of its distinct values v.
+
+    Each column is an aggregation of its own over that column alone: equal values meet before the shuffle, and no row is
+    multiplied by the columns.
+    """
+    parts = []
+    for f in df.schema:
+        counts = df.groupBy(F.col(f"`{f.name}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        parts.append(counts.agg(F.lit(f.name).alias("column"), total(F.col("n")).alias("row_count"), total(F.when(F.col("v").isNull(), F.col("n"))).alias("null_count"), F.count("v").alias("ndv"), *figures(f)))
+    return reduce(DataFrame.unionByName, parts).collect() if parts else []
+
+
+def kth(values: DataFrame, ranks: list[int]) -> dict[int, object]:
+    """The values of these ranks (1: the smallest) of values (v: not null), exactly, whatever their number.
+
+    Up to FEW distinct values are counted one by one. Of more, approximate quantiles give a narrow range about each
+    rank, and the search goes on within it.
+    """
+    few = values.groupBy("v").count().orderBy("v").limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        out, upto, left = {}, 0, sorted(set(ranks))
+        for v, n in few:
+            upto += n
+            while left and left[0] <= upto:
+                out[left.pop(0)] = v
+        return out
+    n, out = values.count(), {}
+    for rank in sorted(set(ranks)):
+        margin = 4 / FEW
+        while True:
+            low, high = values.agg(F.percentile_approx("v", [max(0.0, rank / n - margin), min(1.0, rank / n + margin)], FEW)).first()[0]
+            below, inside = values.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+            if below < rank <= below + inside:
+                break
+            margin *= 4
+        out[rank] = low if low == high else kth(values.filter(F.col("v").between(low, high)), [rank - below])[rank - below]
+    return out
 
 
 def analyze(df: DataFrame) -> DataFrame:
     """(column_name, row_count, null_count, ndv) of each column."""
-    each = [(c, [F.count(F.lit(1)), F.count_if(F.col(f"`{c}`").isNull()), F.count_distinct(F.col(f"`{c}`"))]) for c in df.columns]
-    return _stacked(df, each, ["row_count", "null_count", "ndv"]).withColumnRenamed("column", "column_name")
+    rows = [(r["column"], r["row_count"], r["null_count"], r["ndv"]) for r in _each(df, lambda _: [])]
+    return df.sparkSession.createDataFrame(rows, "column_name string, row_count long, null_count long, ndv long")
+
+
+def _bounds(f: StructField) -> list[Column]:
+    ok = not isinstance(f.dataType, (DecimalType, BinaryType))
+    return [(a("v").cast("string") if ok else F.max(F.lit(None).cast("string"))).alias(name) for a, name in ((F.min, "min"), (F.max, "max"))]
 
 
 def stats(df: DataFrame) -> DataFrame:
@@ -30,20 +76,23 @@ def stats(df: DataFrame) -> DataFrame:
     null_rate in percent of two places, 100 for an empty table; p50 the middle (of two their mean, two places), p90 and
     p99 by nearest rank, for numbers only; no min and max of decimals and binaries.
     """
-    each = []
-    for f in df.schema:
-        c, n = F.col(f"`{f.name}`"), F.count(F.lit(1))
-        number = isinstance(f.dataType, _NUMBERS)
-        bounded = not isinstance(f.dataType, (DecimalType, BinaryType))
-        rate = F.when(n == 0, 100.0).otherwise(F.round(F.count_if(c.isNull()) * 100.0 / F.greatest(n, F.lit(1)), 2))
-        p = lambda q, c=c, number=number: F.expr(f"percentile_disc({q}) within group (order by `{f.name}`)").cast("double") if number else F.max(F.lit(None).cast("double"))  # noqa: E731, B023
-        middle = F.round(F.percentile(c, 0.5), 2).cast("double") if number else F.max(F.lit(None).cast("double"))
-        text = lambda a, c=c, ok=bounded: a(c).cast("string") if ok else F.max(F.lit(None).cast("string"))
-        each.append((f.name, [F.max(F.lit(f.dataType.simpleString())), n, rate, F.count_distinct(c), text(F.min), text(F.max), middle, p(0.9), p(0.99)]))
-    names = ["type", "row_count", "null_rate", "distinct", "min", "max", "p50", "p90", "p99"]
-    out = _stacked(df, each, names)
-    kind = reduce(lambda a, f: a.when(F.col("column") == f.name, f.dataType.simpleString()), df.schema, F.when(F.lit(False), ""))
-    return out.withColumn("type", kind)
+    kinds, out = {f.name: f.dataType for f in df.schema}, []
+    for r in _each(df, _bounds):
+        name, n = r["column"], r["row_count"] - r["null_count"]
+        rate = float(_two_places(r["null_count"] * 100 / r["row_count"])) if r["row_count"] else 100.0
+        p50 = p90 = p99 = None
+        if n and isinstance(kinds[name], _NUMBERS):
+            middle, at = ((n + 1) // 2, n // 2 + 1), {q: max(1, -(-n * q // 100)) for q in (90, 99)}
+            found = kth(df.select(F.col(f"`{name}`").alias("v")).filter("v is not null"), [*middle, *at.values()])
+            p50 = float(_two_places((found[middle[0]] + found[middle[1]]) / 2))
+            p90, p99 = (float(found[at[q]]) for q in (90, 99))
+        out.append((name, kinds[name].simpleString(), r["row_count"], rate, r["ndv"], r["min"], r["max"], p50, p90, p99))
+    return df.sparkSession.createDataFrame(out, "column string, type string, row_count long, null_rate double, distinct long, min string, max string, p50 double, p90 double, p99 double")
+
+
+def _two_places(x: float) -> float:
+    """Rounded half away from zero."""
+    return math.copysign(float(Decimal(repr(abs(x))).quantize(Decimal("0.01"), ROUND_HALF_UP)), x) if math.isfinite(x) else x
 
 
 def sample(df: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
@@ -57,7 +106,8 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
     """(column, type, min, max, top_k): the most frequent strings as 'v(n), v(n)', by count, then value."""
     if not 1 <= top <= 20:
         raise ValueError("profile: top must be 1 to 20")
-    base = stats_bounds(df)
+    known = [(r["column"], df.schema[r["column"]].dataType.simpleString(), r["min"], r["max"]) for r in _each(df, _bounds)]
+    base = df.sparkSession.createDataFrame(known, "column string, type string, min string, max string")
     parts = []
     for f in df.schema:
         if isinstance(f.dataType, StringType):
@@ -69,13 +119,3 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
     if not parts:
         return base.withColumn("top_k", F.lit(None).cast("string"))
     return base.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "column", "left")  # a row a column
-
-
-def stats_bounds(df: DataFrame) -> DataFrame:
-    each = []
-    for f in df.schema:
-        c, ok = F.col(f"`{f.name}`"), not isinstance(f.dataType, (DecimalType, BinaryType))
-        each.append((f.name, [F.min(c).cast("string") if ok else F.max(F.lit(None).cast("string")), F.max(c).cast("string") if ok else F.max(F.lit(None).cast("string"))]))
-    out = _stacked(df, each, ["min", "max"])
-    kind = reduce(lambda a, f: a.when(F.col("column") == f.name, f.dataType.simpleString()), df.schema, F.when(F.lit(False), ""))
-    return out.select("column", kind.alias("type"), "min", "max")
