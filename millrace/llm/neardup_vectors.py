@@ -22,6 +22,8 @@ MISSED = 1e-4
 CROWD = 16
 #: Vectors of a bucket that a task compares at once; larger buckets are compared part by part.
 CHUNK = 4000
+#: Rows of a bucket up to which buckets are compared together, and pairs of vectors at once.
+SMALL, PAIRS = 48, 50_000
 
 
 def meeting(distance: float) -> float:
@@ -57,40 +59,54 @@ class Hashes:
         return h.view(np.int64)
 
 
-def compare(vectors: np.ndarray, weight: np.ndarray, codes_of, table: int, cosine: float, part_a: int, part_b: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of other vectors linked to each row, smallest row of its component) in one bucket.
+def close_pairs(v: np.ndarray, bounds: np.ndarray, cosine: float, apart: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j within a group (bounds: starts and the length) whose cosine, in double precision, is at least cosine.
 
-    Cosines are exact, in double precision. A pair counts in the first table in which it shares a bucket (codes_of gives
-    the buckets of vectors). Where the
-    bucket is split (part_a < part_b), only pairs of different parts are compared.
+    In groups whose rows are marked ``apart`` only pairs of different ``part`` count. Small groups are compared all at
+    once, by the distance of the rows; large ones a block of rows against the group.
     """
-    n = len(vectors)
-    linked = np.zeros(n, np.int64)
-    norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    unit = vectors / norm[:, None]
-    found_i, found_j = [], []
-    for at in range(0, n, 1000):
-        close = np.triu(unit[at : at + 1000] @ unit.T >= cosine - 1e-9, at + 1)
-        i, j = np.nonzero(close)
-        i += at
-        if part_a != part_b:
-            other = part[i] != part[j]
-            i, j = i[other], j[other]
-        for k in range(0, len(i), 200_000):
-            a, b = i[k : k + 200_000], j[k : k + 200_000]
-            exact = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= cosine
-            a, b = a[exact], b[exact]
-            found_i.append(a)
-            found_j.append(b)
-    if not sum(map(len, found_i)):
-        return linked, np.arange(n)
-    some = np.unique(np.concatenate([*found_i, *found_j]))
-    codes = codes_of(vectors[some])[:, :table]
-    for i, j in zip(found_i, found_j, strict=True):
-        new = ~(codes[np.searchsorted(some, i)] == codes[np.searchsorted(some, j)]).any(axis=1)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    size, at = np.diff(bounds), np.arange(len(v))
+    small, end = np.repeat(size <= SMALL, size), np.repeat(bounds[1:], size)
+
+    def exact(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keep = ~apart[i] | (part[i] != part[j])
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            near = np.einsum("ij,ij->i", v[a], v[b]) / (norm[a] * norm[b]) >= cosine
+            yield a[near], b[near]
+
+    for d in range(1, SMALL):
+        i = at[small & (at + d < end)]
+        if not len(i):
+            break
+        yield from exact(i, i + d)
+    for a, b in zip(bounds[:-1][size > SMALL].tolist(), bounds[1:][size > SMALL].tolist(), strict=True):
+        unit = v[a:b] / norm[a:b, None]
+        for k in range(0, b - a, 1000):
+            i, j = np.nonzero(np.triu(unit[k : k + 1000] @ unit.T >= cosine - 1e-9, k + 1))
+            yield from exact(a + k + i, a + j)
+
+
+def compare(v: np.ndarray, weight: np.ndarray, bounds: np.ndarray, table: np.ndarray, codes_of, cosine: float, apart: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of other vectors linked to each row, smallest row of its component) in buckets that stand one after another.
+
+    A pair counts in the first table in which it shares a bucket (table: of each row; codes_of gives the buckets of
+    vectors in all tables); weight: how many vectors a row stands for.
+    """
+    linked = np.zeros(len(v), np.int64)
+    pairs = [p for p in close_pairs(v, bounds, cosine, apart, part) if len(p[0])]
+    if not pairs:
+        return linked, np.arange(len(v))
+    some = np.unique(np.concatenate([x for p in pairs for x in p]))
+    codes = codes_of(v[some])
+    for i, j in pairs:
+        same = codes[np.searchsorted(some, i)] == codes[np.searchsorted(some, j)]
+        new = ~(same & (np.arange(codes.shape[1]) < table[i][:, None])).any(axis=1)
         np.add.at(linked, i[new], weight[j[new]])
         np.add.at(linked, j[new], weight[i[new]])
-    return linked, local_components(n, np.concatenate(found_i), np.concatenate(found_j))
+    return linked, local_components(len(v), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, by: str = "label", seed: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -144,16 +160,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, by: str = "label",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, groups):
             keys = [rows.column(k).to_numpy() for k in groups]
-            bounds = group_bounds(keys)
-            n, row = (rows.column(k).to_numpy() for k in ("n", "key"))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
-                    continue
-                v = matrix(rows.column("v").slice(int(a), int(b - a)))
-                pa_, pb = int(keys[2][a]), int(keys[3][a])
-                linked, root = compare(v, n[a:b], codes_of, int(keys[0][a]), cosine, pa_, pb, rows.column("mine").to_numpy()[a:b])
-                some = np.flatnonzero((linked > 0) | (root != np.arange(b - a)))
-                yield pa.RecordBatch.from_pydict({"key": row[a:b][some], "links": linked[some], "to": row[a:b][root[some]]})
+            n, row, mine = (rows.column(k).to_numpy() for k in ("n", "key", "mine"))
+            lengths = np.asarray(rows.column("v").combine_chunks().value_lengths())
+            # A bucket has vectors of one length; most tables have one length altogether.
+            for length in np.unique(lengths):
+                own = np.flatnonzero(lengths == length)
+                t, _, part_a, part_b = (k[own] for k in keys)
+                v = matrix(rows.column("v").combine_chunks().take(pa.array(own)))
+                linked, root = compare(v, n[own], group_bounds([k[own] for k in keys]), t, codes_of, cosine, part_a != part_b, mine[own])
+                some = np.flatnonzero((linked > 0) | (root != np.arange(len(own))))
+                yield pa.RecordBatch.from_pydict({"key": row[own][some], "links": linked[some], "to": row[own][root[some]]})
 
     out = parts_of.select("key", "n", "v", *groups, "mine").repartition(shuffle_partitions(spark), *groups).sortWithinPartitions(*groups)
     found = written(out.mapInArrow(run, "key long, links long, to long"), "found")
