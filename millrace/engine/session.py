@@ -66,6 +66,8 @@ class Engine:
         spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
         spark.conf.set("spark.sql.ansi.enabled", "true")
         self.store = Store(spark, root or _temporary(spark))
+        #: Of the jobs of threads that have run statements here.
+        self.tag = f"millrace-{uuid.uuid4().hex}"
         self.stores: dict[str, Store] = {"": self.store}
         self.tables: dict[str, Meta] = {}
         self.opened: dict[str, tuple[Meta, DataFrame]] = {}
@@ -215,6 +217,7 @@ class Engine:
         if len(each) != 1:
             raise SqlError(f"one statement is expected, not {len(each)}", SYNTAX)
         self._refresh()
+        self._tagged()
         flat = tokens(each[0])
         words = [t.low for t in flat[:3]]
         if words[0] in ("select", "with"):
@@ -250,7 +253,20 @@ class Engine:
             raise
         self.sql("COMMIT")
 
+    def _tagged(self) -> None:
+        """Marks this thread's jobs as those of this engine alone."""
+        sc = self.spark.sparkContext
+        for tag in sc.getJobTags():
+            if tag.startswith("millrace-") and tag != self.tag:
+                sc.removeJobTag(tag)
+        sc.addJobTag(self.tag)
+
+    def cancel(self) -> None:
+        """Ends the running jobs of this engine, whatever thread runs them; the statements fail, nothing is committed."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
     def close(self) -> None:
+        self.spark.sparkContext.removeJobTag(self.tag)
         for name in [*self.tables, *self.frames, *self.views]:
             self.spark.catalog.dropTempView(name)
 

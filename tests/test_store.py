@@ -1,5 +1,7 @@
 """Commits, sessions beside each other, attached folders, parameters of changes, and the command line."""
 
+import threading
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -116,6 +118,30 @@ def test_parameters_of_changes(engine):
         engine.sql("delete from p where id = ?")
 
 
+def test_cancellation(engine):
+    failed = []
+
+    def run():
+        try:
+            engine.sql("insert into t select count(*) + 1000, 1, 'x' from many a join many b on a.id % 7 <> b.id % 11")
+        except SqlError as e:
+            failed.append(e)
+
+    engine.register_frame("many", engine.spark.range(100_000, numPartitions=4))
+    thread = threading.Thread(target=run)
+    thread.start()
+    active = engine.spark.sparkContext.statusTracker().getActiveJobsIds
+    for _ in range(600):
+        if active() or not thread.is_alive():
+            break
+        time.sleep(0.1)
+    time.sleep(1)
+    engine.cancel()
+    thread.join(60)
+    assert failed and not thread.is_alive()
+    assert rows(engine, "select count(*) from t") == [(2,)]
+
+
 def test_restore_checks_once(engine, spark, tmp_path):
     from millrace.sources.dump import dump, restore
 
