@@ -68,6 +68,8 @@ class Merges:
 
     def __init__(self, model: dict):
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        if max(vocab.values()) >= _NOTHING:
+            raise ValueError("the vocabulary has too many ids")
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = np.array([vocab[c] for c in _byte_names()], np.uint32)
         self.last = np.array([vocab[c + suffix] for c in _byte_names()], np.uint32)
