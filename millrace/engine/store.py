@@ -44,9 +44,11 @@ class Store:
     KEPT = 20
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark = spark
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        # With its scheme, as Spark names the files below it.
+        self.root = self._fs.makeQualified(self._path(root)).toString().rstrip("/")
         self.version, self._seen, self._tables = 0, -1, {}
         self.refresh()
 

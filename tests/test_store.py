@@ -177,3 +177,13 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert run("delete", root)[0] == 0
     assert run("list", root) == (0, "")
     assert run("query", root, "select * from nope")[0] == 1
+
+
+def test_folders_without_a_scheme(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path}/plain folder")
+    e.sql("create table t (id integer primary key, v int)")
+    e.sql("insert into t values (1, 1), (2, 2)")
+    e.sql("insert into t values (3, 3)")
+    assert e.sql("update t set v = 9 where id = 3") == AffectedRows(1)
+    assert e.sql("delete from t where id = 1") == AffectedRows(1)
+    assert sorted(rows(e, "select * from t")) == [(2, 2), (3, 9)]
