@@ -22,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.shared.dir", base)
-    return base.rstrip("/")
+    # With its scheme: what isn't Spark must find it too.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return (whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
