@@ -220,11 +220,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keyed: bool = F
     scanned = F.create_map(*[x for r in rules if queries[r] is True for x in (F.lit(r.kind), _spans("text", r))]) if len(indexed) < len(rules) else F.create_map().cast("map<string,array<struct<start:long,end:long>>>")
     if not indexed:
         return rows.select(*out, scanned.alias("found"))
-    # F.lower changes more letters than A-Z, which can only add candidates; its own column, so that it runs once a text.
-    low = rows.select("doc_id", "text_hash", F.lower("text").alias("low"))
-    there = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(k)) for g, k in number.items()]))
+    # F.lower changes more letters than A-Z, which can only add candidates. A variable of transform holds the lower-cased
+    # text: a column of its own would be put into each of its uses, and so would a filter's condition.
+    there = F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*[F.when(low.contains(g), F.lit(k)) for g, k in number.items()])))[0]
     # Written once, so that a number names one document however often tasks run again.
-    numbered = written(low.select("doc_id", "text_hash", there.alias("trigrams")).filter(F.size("trigrams") > 0).withColumn("number", F.monotonically_increasing_id() + 1), "numbered")
+    numbered = written(rows.select("doc_id", "text_hash", there.alias("trigrams"), (F.monotonically_increasing_id() + 1).alias("number")), "numbered").filter(F.size("trigrams") > 0)
     index = written(postings(numbered), "postings")
     wanted = candidates(index, {r.kind: queries[r] for r in indexed}, number)
     chosen = numbered.join(wanted, "number").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "wanted").dropDuplicates(["own_id", "own_hash"])
